@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,3 +59,25 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder; later steps read it and not what made it.
+
+    Unlike a checkpoint it computes the rows once.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/weftline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weftline_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that materialise() made and that nothing reads any more."""
+    path = getattr(df, "_weftline_path", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
