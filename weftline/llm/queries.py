@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare, read_table
+from ..session import read_table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,18 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_entropy")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_dedup
+
+    return near_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ogg import from_media, to_media
 
@@ -48,7 +60,29 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op5_ogg_media, op6_quality_classifier, op7_chat_format)}
+def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import decode_documents, encode_documents
+
+    back = decode_documents(encode_documents(read_table(spark, sf_dir, "documents")))
+    return back.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .counts import count_documents
+
+    return count_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .arrow_files import store_documents
+
+    return store_documents(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_exact_dedup, op2_secret_scan, op3_best_fit_packing, op4_simhash_near_dedup, op5_ogg_media, op6_quality_classifier, op7_chat_format,
+    op8_bpe_encode_decode, op9_token_counts, op10_arrow_token_files)}
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ESCAPED = r"replace(replace(x, '\', '\b'), '<', '\l')"
