@@ -49,3 +49,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("row.doc_id").alias("doc_id"), "keep_id", F.col("group_size").cast("long").alias("group_size"),
         (F.col("at") + 1 == F.col("place")).alias("kept"), F.col("digest").alias("text_sha256"),
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs that exact_dedup keeps, one for each distinct normalised text, with all their columns."""
+    least = F.lit(-(1 << 63)) if dict(docs.dtypes)["doc_id"] in ("bigint", "int") else F.lit("")
+    key = F.coalesce(F.col("doc_id"), least)
+    stay = exact_dedup(docs).where("kept").select(key.alias("_key"), F.col("text_sha256").alias("_digest"))
+    rows = docs.withColumn("_key", key).withColumn("_digest", F.sha2(normalise(F.col("text")), 256)).join(stay, ["_key", "_digest"], "left_semi")
+    # Rows that repeat an id and its text: one of them.
+    first = F.row_number().over(Window.partitionBy("_key", "_digest").orderBy("_key"))
+    return rows.withColumn("_first", first).where("_first = 1").select(*docs.columns)

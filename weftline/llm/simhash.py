@@ -283,3 +283,13 @@ def near_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Dat
     # A fingerprint with a third of all rows is split by the adaptive skew join: both sides come straight from tables.
     out = found.join(groups, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs whose id is the least of their component, with all their columns.
+
+    Rows without an id stay; rows that repeat an id stay or go together.
+    """
+    groups = near_dedup(docs, words, radius)
+    gone = groups.where("doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
