@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import let, one_of
 
@@ -36,7 +37,7 @@ def utf8(body: Column) -> Column:
     return F.try_validate_utf8(body.cast("string"))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _decoded(bodies: pa.Array, first: pa.Array, second: pa.Array) -> pa.Array:
     def one(body, *names):
         if body is None:
