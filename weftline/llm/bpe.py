@@ -22,6 +22,8 @@ from ..session import prepare
 from .tokens import Known, cut, gather, load_tokenizer, spread, strings, units, vocabulary_path
 
 BYTE_BPE = "byte_bpe_50k.json"
+#: Bytes of text that are encoded at once.
+UNIT = 4 << 20
 
 
 def byte_letters() -> list[str]:
@@ -234,23 +236,27 @@ def decode(ids: np.ndarray, ends: np.ndarray, name: str = BYTE_BPE) -> list[str]
     return [raw[a:b].decode("utf-8", "replace") for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
 
-def encode_documents(docs: DataFrame, name: str = BYTE_BPE) -> DataFrame:
+def encode_documents(docs: DataFrame, name: str = BYTE_BPE, decoded: bool = False) -> DataFrame:
     """doc_id and ids (binary, little-endian unsigned 32-bit) of every row; null texts count as empty and have none.
 
-    Special strings inside a text become their ids, as in the library. Other columns are ignored; an empty table gives
-    no rows. Memory is bounded by units of some 8 MB of text; one text is the least unit.
+    With `decoded` a third column, text, is what decoding those ids gives. Special strings inside a text become their
+    ids, as in the library. Rows that repeat an id give a row each; other columns are ignored; an empty table gives no
+    rows. Memory is bounded by units of some 4 MB of text; one text is the least unit.
     """
     prepare(docs.sparkSession)
     rows = docs.select("doc_id", "text")
 
     def run(batches):
-        for table in units(batches, most=8 << 20):
+        for table in units(batches, most=UNIT):
             ids, ends = encode(table["text"], name)
             raw, stops = ids.astype("<u4").tobytes(), (4 * ends).tolist()
             packed = pa.array([raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), packed], names=["doc_id", "ids"])
+            columns = {"doc_id": table["doc_id"].combine_chunks(), "ids": packed}
+            if decoded:
+                columns["text"] = pa.array(decode(ids, ends, name), pa.string())
+            yield pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, ids binary")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, ids binary" + ", text string" * decoded)
 
 
 def decode_documents(encoded: DataFrame, name: str = BYTE_BPE) -> DataFrame:

@@ -17,7 +17,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan
 
-    found = scan(read_table(spark, sf_dir, "documents"), with_text=False)
+    found = scan(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_entropy")
 
 
@@ -61,9 +61,9 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .bpe import decode_documents, encode_documents
+    from .bpe import encode_documents
 
-    back = decode_documents(encode_documents(read_table(spark, sf_dir, "documents")))
+    back = encode_documents(read_table(spark, sf_dir, "documents"), decoded=True)
     return back.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 

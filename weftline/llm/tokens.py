@@ -57,6 +57,7 @@ def units(batches, column: str = "text", most: int = UNIT_BYTES):
             if size >= most or at < batch.num_rows:
                 yield pa.Table.from_batches(held).combine_chunks()
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -164,9 +165,9 @@ def _opening(name: str) -> np.ndarray:
 
 
 class Known:
-    """Ids of pieces that this worker has met, up to a number of pieces and bytes; packed, so a million take some 40 MB."""
+    """Ids of pieces that this worker has met, up to a number of pieces and bytes; packed, so they take some 20 MB."""
 
-    most, most_bytes = 1_000_000, 32 << 20
+    most, most_bytes = 400_000, 16 << 20
 
     def __init__(self):
         self.words, self.ids, self.lengths = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
