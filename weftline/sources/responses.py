@@ -34,7 +34,7 @@ def fetch_assets(wanted: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def read_bodies(spark, path: str, pattern: str = "*") -> DataFrame:
-    """local_path, body, bytes and sha256 of stored files."""
+    """local_path, body, bytes and sha256 of stored files; the reader passes over empty ones."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return files.select(F.col("path").alias("local_path"), F.col("content").alias("body"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
