@@ -6,10 +6,11 @@ documents. The model minimises the non-negative risk estimate
     prior * R_P(+) + max(0, R_U(-) - prior * R_P(-))
 
 by Adam, stepping against the negative part when it falls below zero. The class prior is estimated from the learning
-folds. The raw score is then calibrated on the learning folds, so that it reads as a probability.
+folds. One network is trained without each of them, and their mean output is calibrated on the rows that were left out,
+so that it reads as a probability.
 
 Inputs of a score are counts of a text's bytes and of adjacent byte classes, and how far its words and lines repeat; ids, language, source and labels are not.
-Training takes bounded samples (SAMPLE rows of each set, chosen by a hash of the id); scoring covers every whole text.
+Training takes bounded samples (about SAMPLE rows of each set, chosen by a hash of the id); scoring covers every whole text.
 """
 
 from __future__ import annotations
@@ -21,13 +22,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import prepare
 from .tokens import strings, units
 
 #: Rows that the positives, the unlabelled set and the calibration set are each bounded to.
 SAMPLE = 12_000
-HIDDEN, EPOCHS, BATCH = 24, 20, 512
+HIDDEN, STEPS, BATCH, DECAY = 24, 500, 512, 3e-2
+#: Of the four folds of documents those that labels are learnt from.
+LEARNING, HELD_OUT = (0, 1, 3), 2
+
+#: Bytes of text whose features are counted at once.
+UNIT = 4 << 20
 
 _CLASSES = 14
 
@@ -78,38 +85,45 @@ def _sigmoid(x):
 
 
 @dataclass
-class Model:
+class Network:
+    """One hidden layer; a positive output speaks for label 1."""
+
     mean: np.ndarray
     spread: np.ndarray
     w1: np.ndarray
     b1: np.ndarray
     w2: np.ndarray
     b2: float
-    prior: float
-    slope: float = 1.0
-    shift: float = 0.0
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum((x - self.mean) / self.spread @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+        return (np.maximum((x - self.mean) / self.spread @ self.w1 + self.b1, 0) @ self.w2 + self.b2).astype(np.float64)
+
+
+@dataclass
+class Model:
+    """Networks whose mean output is calibrated to a probability."""
+
+    networks: list
+    slope: float = 1.0
+    shift: float = 0.0
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.slope * self.raw(x).astype(np.float64) + self.shift)
+        return _sigmoid(self.slope * np.mean([n.raw(x) for n in self.networks], 0) + self.shift)
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 0) -> Model:
-    """The model of least non-negative risk; without positives or unlabelled rows, one that scores the prior."""
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 0) -> Network:
+    """The network of least non-negative risk; without positives or unlabelled rows, one that gives the prior's logit."""
     rng = np.random.default_rng(seed)
     every = np.concatenate([positive, unlabelled]) if len(unlabelled) else positive
     if not len(positive) or not len(unlabelled):
         zero = np.zeros(FEATURES, np.float32)
-        return Model(zero, zero + 1, np.zeros((FEATURES, 1), np.float32), np.zeros(1, np.float32), np.zeros(1, np.float32), float(np.log(prior / (1 - prior))), prior)
+        return Network(zero, zero + 1, np.zeros((FEATURES, 1), np.float32), np.zeros(1, np.float32), np.zeros(1, np.float32), float(np.log(prior / (1 - prior))))
     mean, spread = every.mean(0), every.std(0) + 0.05
-    m = Model(mean, spread, (rng.normal(size=(FEATURES, HIDDEN)) / FEATURES**0.5).astype(np.float32), np.zeros(HIDDEN, np.float32), (rng.normal(size=HIDDEN) / HIDDEN**0.5).astype(np.float32), 0.0, prior)
+    m = Network(mean, spread, (rng.normal(size=(FEATURES, HIDDEN)) / FEATURES**0.5).astype(np.float32), np.zeros(HIDDEN, np.float32), (rng.normal(size=HIDDEN) / HIDDEN**0.5).astype(np.float32), 0.0)
     p, u = (positive - mean) / spread, (unlabelled - mean) / spread
     parts = [m.w1, m.b1, m.w2, np.zeros(1, np.float32)]
     first, second, step = [np.zeros_like(x) for x in parts], [np.zeros_like(x) for x in parts], 0
-    rounds = max(1, max(len(p), len(u)) // BATCH)
-    for _ in range(EPOCHS * rounds):
+    for _ in range(STEPS):
         a, b = p[rng.integers(len(p), size=BATCH)], u[rng.integers(len(u), size=BATCH)]
         x = np.concatenate([a, b])
         hidden = x @ parts[0] + parts[1]
@@ -127,7 +141,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int
             slope[:BATCH] = prior * s[:BATCH] / BATCH
             slope[BATCH:] = -s[BATCH:] / BATCH
         back = np.outer(slope, parts[2]) * (hidden > 0)
-        grads = [x.T @ back + 1e-4 * parts[0], back.sum(0), active.T @ slope, slope.sum(keepdims=True)]
+        grads = [x.T @ back + DECAY * parts[0], back.sum(0), active.T @ slope, slope.sum(keepdims=True)]
         step += 1
         for k, g in enumerate(grads):
             first[k] = 0.9 * first[k] + 0.1 * g
@@ -137,11 +151,10 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int
     return m
 
 
-def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
-    """Fits slope and shift of the score's logit to labels, by Newton steps on the logistic loss with a slight prior."""
+def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift that turn outputs into probabilities of the labels, by Newton steps on the logistic loss."""
     if len(y) < 10 or y.min() == y.max():
-        return model
-    z = model.raw(x).astype(np.float64)
+        return 1.0, 0.0
     center, width = z.mean(), z.std() + 1e-6
     a = np.stack([(z - center) / width, np.ones_like(z)], 1)
     w = np.array([1.0, 0.0])
@@ -150,33 +163,40 @@ def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
         g = a.T @ (s - y) + 1e-2 * (w - [1, 0])
         h = (a * (s * (1 - s))[:, None]).T @ a + 1e-2 * np.eye(2)
         w = w - np.linalg.solve(h, g)
-    if w[0] > 0:  # higher must stay likelier
-        model.slope, model.shift = w[0] / width, w[1] - w[0] * center / width
-    return model
+    if w[0] <= 0:  # higher must stay likelier
+        return 1.0, 0.0
+    return w[0] / width, w[1] - w[0] * center / width
+
+
+def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
+    """A network for each learning fold, trained without it; the calibration sees only outputs on rows left out."""
+    networks, z = [], np.zeros(len(y))
+    for k in LEARNING:
+        out = fold == k
+        network = train(x[(y == 1) & ~out], unlabelled, prior, seed=k)
+        networks.append(network)
+        z[out] = network.raw(x[out])
+    return Model(networks, *calibrate(z, y))
 
 
 def _fold(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
 
-def _sampled(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """About `most` rows at most, by a hash of the key."""
-    n = rows.count()
-    if n <= most:
-        return rows
-    share = int(1_000_000 * most / n)
-    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_000)) < share).limit(most + most // 10)
+def _share(n: int, most: int):
+    """A condition by a hash of doc_id that some `most` of n rows meet."""
+    share = 1_000_000 if n <= most else int(1_000_000 * most / n)
+    return F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("sample")), F.lit(1_000_000)) < share
 
 
-def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features and label of sampled rows (label, text)."""
+def _collected(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and label of sampled rows (label, text); only numbers leave the tasks, and at most `most` rows of them."""
     def run(batches):
-        for table in units(batches):
-            x = features(table["text"])
-            packed = pa.array([r.tobytes() for r in x], pa.binary())
+        for table in units(batches, most=UNIT):
+            packed = pa.array([r.tobytes() for r in features(table["text"])], pa.binary())
             yield pa.RecordBatch.from_arrays([table["label"].combine_chunks(), packed], names=["label", "x"])
 
-    found = rows.mapInArrow(run, "label int, x binary").toArrow()
+    found = rows.mapInArrow(run, "label int, x binary").limit(most).toArrow()
     x = np.frombuffer(b"".join(found["x"].to_pylist()), np.float32).reshape(-1, FEATURES)
     return x, found["label"].to_numpy()
 
@@ -188,40 +208,50 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     each. Without labels the prior is one half.
     """
     prepare(docs.sparkSession)
-    told = labels.where(F.col("quality").isin(0, 1) & (_fold(F.col("doc_id")) != 2)).select("doc_id", F.col("quality").alias("label"))
-    counts = {r.label: r["count"] for r in told.groupBy("label").count().collect()}
-    ones, all_told = counts.get(1, 0), sum(counts.values())
+    told = labels.where(F.col("quality").isin(0, 1) & (_fold(F.col("doc_id")) != HELD_OUT)).select("doc_id", (2 * _fold(F.col("doc_id")) + F.col("quality")).cast("int").alias("label"))
+    counts = {r.label: r["count"] for r in told.groupBy("label").count().collect()}  # a row for each fold and label
+    ones, all_told = sum(n for k, n in counts.items() if k % 2), sum(counts.values())
     prior = (ones + 1) / (all_told + 2)
-    chosen = _sampled(told, "doc_id", sample)
     rows = docs.select("doc_id", "text")
-    x, y = _collected(rows.join(chosen, "doc_id").select("label", "text"))
+    bound = sample + sample // 10
+    # The limit makes it safe to send the chosen labels, two numbers each, to all tasks.
+    chosen = F.broadcast(told.where(_share(all_told, sample)).limit(bound))
+    x, y = _collected(rows.join(chosen, "doc_id").select("label", "text"), bound)
     order = np.lexsort((*x.T[:8], x.sum(1)))
     x, y = x[order], y[order]
-    u, _ = _collected(_sampled(rows, "doc_id", sample).select(F.lit(0).alias("label"), "text"))
+    u, _ = _collected(rows.where(_share(rows.count(), sample)).select(F.lit(0).alias("label"), "text"), bound)
     u = u[np.lexsort((*u.T[:8], u.sum(1)))]
-    return calibrate(train(x[y == 1], u, prior), x, y)
+    return fit(x, y % 2, y // 2, u, prior)
 
 
-def score(docs: DataFrame, model: Model, keep: tuple = ()) -> DataFrame:
-    """doc_id, score and the columns of keep, for every row; null texts count as empty."""
+def score(docs: DataFrame, model: Model, keep_row: bool = False) -> DataFrame:
+    """doc_id (or, with keep_row, row: a struct of all columns) and score for every row; null texts count as empty."""
     spark = prepare(docs.sparkSession)
     sent = spark.sparkContext.broadcast(model)  # a fixed number of weights
-    kept = [c for c in keep if c not in ("doc_id", "text")]
-    with_text = "text" in keep
-    rows = docs.select("doc_id", "text", *kept)
+    if keep_row:
+        rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    else:
+        rows = docs.select("doc_id", "text")
+    kept = "row" if keep_row else "doc_id"
 
     def run(batches):
-        for table in units(batches):
+        if keep_row:
+            batches = (pa.RecordBatch.from_arrays([b.column("row"), b.column("row").field("text")], names=["row", "text"]) for b in batches)
+        for table in units(batches, most=UNIT):
             s = pa.array(sent.value.score(features(table["text"])))
-            names = ["doc_id", *["text"] * with_text, *kept]
-            yield pa.Table.from_arrays([*(table[c] for c in names), s], names=[*names, "score"]).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([table[kept].combine_chunks(), s], names=[kept, "score"])
 
-    types = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in ["doc_id", *["text"] * with_text, *kept]) + ", score double")
+    return rows.mapInArrow(run, f"{kept} {rows.schema[kept].dataType.simpleString()}, score double" if not keep_row else T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, keep: tuple = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 from the threshold on) and the columns of keep for every row of docs."""
-    scored = score(docs, learn(docs, labels), keep)
-    held_out = F.coalesce(_fold(F.col("doc_id")) == 2, F.lit(False))
-    return scored.select("doc_id", *[c for c in keep if c != "doc_id"], held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, keep_row: bool = False) -> DataFrame:
+    """doc_id (or row, with keep_row), held_out, score and predicted (1 from the threshold on) for every row of docs.
+
+    Rows that repeat an id get a score each; a null id is in no held-out fold. An empty table gives no rows; without
+    labels every text gets the score of an even prior. Columns besides doc_id and text do not matter, whatever their
+    names.
+    """
+    scored = score(docs, learn(docs, labels), keep_row)
+    doc_id = F.col("row.doc_id" if keep_row else "doc_id")
+    held_out = F.coalesce(_fold(doc_id) == HELD_OUT, F.lit(False))
+    return scored.select("row" if keep_row else "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
