@@ -53,10 +53,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_dedup keeps, one for each distinct normalised text, with all their columns."""
-    least = F.lit(-(1 << 63)) if dict(docs.dtypes)["doc_id"] in ("bigint", "int") else F.lit("")
-    key = F.coalesce(F.col("doc_id"), least)
-    stay = exact_dedup(docs).where("kept").select(key.alias("_key"), F.col("text_sha256").alias("_digest"))
-    rows = docs.withColumn("_key", key).withColumn("_digest", F.sha2(normalise(F.col("text")), 256)).join(stay, ["_key", "_digest"], "left_semi")
+    key = F.struct(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    stay = exact_dedup(docs).where("kept").select(key.alias("key"), F.col("text_sha256").alias("digest"))
+    # All columns in one, so that none can clash.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"), F.sha2(normalise(F.col("text")), 256).alias("digest"))
     # Rows that repeat an id and its text: one of them.
-    first = F.row_number().over(Window.partitionBy("_key", "_digest").orderBy("_key"))
-    return rows.withColumn("_first", first).where("_first = 1").select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy("key", "digest").orderBy("key"))
+    return rows.join(stay, ["key", "digest"], "left_semi").withColumn("first", first).where("first = 1").select("row.*")

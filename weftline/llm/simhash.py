@@ -10,6 +10,8 @@
    a shard returns at most one edge for each of its rows, whatever the size of a cluster.
 4. The forests of all shards are contracted to components, round by round, in tables of the shared folder.
 
+similar_documents() takes a wide radius instead and verifies each pair of fingerprints by sketches of the shingle sets.
+
 Distances of 64-bit fingerprints crowd around 32, so a level of the tree prunes about a sixth of the visits: the
 comparisons grow with about the power 1.75 of the number of distinct fingerprints.
 """
@@ -31,11 +33,16 @@ SEED, WORDS, RADIUS = 42, 4, 4
 SAMPLE, SHARD = 4_096, 32_768
 LEAF = 128
 _BLOCK = 1 << 20
+#: Similar texts: words of a shingle, least share of common shingles, and the radius within which fingerprints of such
+#: texts lie but for a few in a hundred.
+SIMILAR_WORDS, SIMILARITY, SIMILAR_RADIUS, SIMILAR_SHARD = 5, 0.8, 13, 16_384
+BINS, EMPTY = 256, 0xFFFFFFFF
+_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
 _SLICE = 1 << 15
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """Of the XXH64 hashes of all shingles (repeats included) a bit is 1 if set in over half; no words: zero.
+def shingle_hashes(text: str | None, words: int = WORDS):
+    """The XXH64 hashes of a text's word shingles, repeats included, in slices of bounded length.
 
     A-Z are lower-cased; words are what is between ASCII white space; fewer words than a shingle's make one shingle.
     """
@@ -43,19 +50,52 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
     found = (text or "").encode().lower().split()
     if not found:
-        return 0
+        return
     lengths = np.fromiter(map(len, found), np.int64, len(found)) + 1
     ends = np.cumsum(lengths) - 1
     starts = (ends - lengths + 1).tolist()
     ends = ends.tolist()[min(words, len(found)) - 1 :]
     joined = b" ".join(found)
-    ones, n = np.zeros(64, np.int64), len(ends)
-    for k in range(0, n, _SLICE):  # bounded whatever the length of a text
-        hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[k : k + _SLICE], ends[k : k + _SLICE])], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    for k in range(0, len(ends), _SLICE):
+        yield np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[k : k + _SLICE], ends[k : k + _SLICE])], "<u8")
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """Of the hashes of all shingles (repeats included) a bit is 1 if set in over half; no words: zero."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, words):
+        ones += _bit_counts(hashes)
+        n += len(hashes)
+    return _majority(ones, n)
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
+def sketch(text: str | None, words: int) -> tuple[int, int, np.ndarray]:
+    """The fingerprint, the number of distinct shingles, and the least hash of the shingles in each of BINS bins.
+
+    Equal bins estimate the share of common shingles; an empty bin holds EMPTY.
+    """
+    ones, n, parts = np.zeros(64, np.int64), 0, []
+    for hashes in shingle_hashes(text, words):
+        ones += _bit_counts(hashes)
+        n += len(hashes)
+        parts.append(np.unique(hashes))
+    distinct = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    edges = np.searchsorted(distinct, _EDGES)
+    least = np.full(BINS, EMPTY, np.uint32)
+    full = edges < np.append(edges[1:], len(distinct))
+    # The bin is the hash's upper bits; what is kept is below them.
+    least[full] = np.minimum((distinct[edges[full]] >> np.uint64(16)).astype(np.uint32), EMPTY - 1)
+    return _majority(ones, n), len(distinct), least
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) for every row; null texts count as empty."""
     prepare(docs.sparkSession)
@@ -104,8 +144,8 @@ def build(sample: np.ndarray, depth: int, seed: int = 0) -> Node | int:
     return grow(np.sort(sample), depth)
 
 
-def route(tree: Node | int, points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shard, home) of each point in its own shard and in the later ones that it visits."""
+def route(tree: Node | int, points: np.ndarray, radius: int = RADIUS, later: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shard, home) of each point in its own shard and in those that it visits: the later ones, or all."""
     out = []
 
     def go(node, rows, home):
@@ -122,6 +162,8 @@ def route(tree: Node | int, points: np.ndarray, radius: int = RADIUS) -> tuple[n
 
     go(tree, np.arange(len(points)), np.ones(len(points), bool))
     rows, shards, home = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+    if not later:
+        return rows, shards, home
     own = np.zeros(len(points), np.int64)
     own[rows[home]] = shards[home]
     kept = shards >= own[rows]
@@ -161,9 +203,31 @@ class Forest:
         return self.parent
 
 
-def link_shard(points: np.ndarray, home: np.ndarray, radius: int = RADIUS, seed: int = 0) -> np.ndarray:
-    """The least row that each row is linked with, through links between home rows and all rows."""
+def link_shard(points: np.ndarray, home: np.ndarray, radius: int = RADIUS, seed: int = 0, verify=None) -> np.ndarray:
+    """The least row that each row is linked with, through links between home rows and all rows.
+
+    verify(a, b) tells which of the pairs within the radius are links; without it all are. It is asked only about pairs
+    whose rows are not connected yet, and about one for each row first, so a cluster costs about a question a row.
+    """
     forest, rng = Forest(len(points)), np.random.default_rng(seed)
+
+    def meet(a, b):
+        if verify is None:
+            forest.link(a, b)
+            return
+        while len(a):
+            x, y = forest.settle()[a], forest.parent[b]
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            if not len(a):
+                return
+            asked = np.unique(np.concatenate([np.unique(x, return_index=True)[1], np.unique(y, return_index=True)[1]]))
+            good = asked[verify(a[asked], b[asked])]
+            forest.link(a[good], b[good])
+            rest = np.ones(len(a), bool)
+            rest[asked] = False
+            a, b = a[rest], b[rest]
+
     stack = [(np.flatnonzero(home), np.arange(len(points)))]
     while stack:
         own, asking = stack.pop()
@@ -173,16 +237,16 @@ def link_shard(points: np.ndarray, home: np.ndarray, radius: int = RADIUS, seed:
             values = points[own]
             vantage = values[rng.integers(len(own))]
             d = far(values, vantage).astype(np.int64)
-            # All within half the radius of the vantage point are linked with each other: one forest edge each.
-            ball = d <= radius // 2
             border = int(np.median(d))
             inside = d <= border
             if inside.all():
                 border = int(d.max()) - 1
                 inside = d <= border
             if inside.any() and not inside.all():
-                if ball.sum() > 1:
-                    forest.link(own[ball][1:], np.full(int(ball.sum()) - 1, own[ball][0]))
+                # All within half the radius of the vantage point are linked with each other: one forest edge each.
+                ball = own[d <= radius // 2]
+                if verify is None and len(ball) > 1:
+                    forest.link(ball[1:], np.full(len(ball) - 1, ball[0]))
                 e = far(points[asking], vantage).astype(np.int64)
                 stack.append((own[inside], asking[e - radius <= border]))
                 stack.append((own[~inside], asking[e + radius > border]))
@@ -193,19 +257,41 @@ def link_shard(points: np.ndarray, home: np.ndarray, radius: int = RADIUS, seed:
             for k in range(0, len(asking), width):
                 some = asking[k : k + width]
                 at, to = np.nonzero(far(points[some][:, None], points[part][None, :]) <= radius)
-                forest.link(some[at], part[to])
+                at, to = some[at], part[to]
+                meet(at[at != to], to[at != to])
     return forest.settle()
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated share of common shingles of rows of sketches: equal bins among those that either has; 1 for no shingles."""
+    same = ((a == b) & (a != EMPTY)).sum(1)
+    either = ((a != EMPTY) | (b != EMPTY)).sum(1)
+    return np.where(either == 0, 1.0, same / np.maximum(either, 1))
+
+
+def plant(points: DataFrame, n: int, shard: int, sample: int = SAMPLE) -> Node | int:
+    """A tree that splits n points (fp) into shards of about the given size, over a bounded sample of them."""
+    depth = max(0, int(np.ceil(np.log2(max(1, n / shard)))))
+    if not depth:
+        return 0
+    share = min(1_000_000, int(1_000_000 * sample / n) + 1)
+    some = points.where(F.pmod(F.xxhash64("fp", F.lit("sample")), F.lit(1_000_000)) < share).select("fp").limit(2 * sample).toArrow()["fp"].to_numpy()
+    return build(some.view(np.uint64), depth)
+
+
+_EDGE = "a_rep long, a_fp long, b_rep long, b_fp long"
+
+
+def _edges(frame: pd.DataFrame, least: np.ndarray) -> pd.DataFrame:
+    fps, reps = frame["fp"].to_numpy(), frame["rep"].to_numpy()
+    tied = np.flatnonzero(least != np.arange(len(least)))
+    up = least[tied]
+    return pd.DataFrame({"a_rep": reps[tied], "a_fp": fps[tied], "b_rep": reps[up], "b_fp": fps[up]})
+
+
 def links(points: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
     """Edges a_rep, a_fp, b_rep, b_fp (b before a) that connect all points (rep, fp) with linked fingerprints."""
-    n = points.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n / shard)))))
-    tree: Node | int = 0
-    if depth:
-        share = min(1_000_000, int(1_000_000 * sample / n) + 1)
-        some = points.where(F.pmod(F.xxhash64("fp", F.lit("sample")), F.lit(1_000_000)) < share).select("fp").limit(2 * sample).toArrow()["fp"].to_numpy()
-        tree = build(some.view(np.uint64), depth)
+    tree = plant(points, points.count(), shard, sample)
 
     def visit(batches):
         for batch in batches:
@@ -215,13 +301,46 @@ def links(points: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard:
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["rep", "fp"], ignore_index=True)
-        fps, reps = frame["fp"].to_numpy(), frame["rep"].to_numpy()
-        least = link_shard(fps.view(np.uint64), frame["home"].to_numpy(), radius)
-        tied = np.flatnonzero(least != np.arange(len(least)))
-        up = least[tied]
-        return pd.DataFrame({"a_rep": reps[tied], "a_fp": fps[tied], "b_rep": reps[up], "b_fp": fps[up]})
+        return _edges(frame, link_shard(frame["fp"].to_numpy().view(np.uint64), frame["home"].to_numpy(), radius))
+
+    return points.mapInArrow(visit, "shard long, home boolean, rep long, fp long").groupBy("shard").applyInPandas(join, _EDGE)
+
+
+def similar_links(points: DataFrame, similarity: float, radius: int, sample: int = SAMPLE, shard: int = SIMILAR_SHARD) -> DataFrame:
+    """Edges that connect all points (rep, fp, size, sketch) within the radius whose sketches are alike enough.
+
+    Texts of that similarity have sizes within the factor 1 / similarity, so points are parted into bands of sizes, and
+    meet those of their own and of the next band only; large bands are split into shards by the tree.
+    """
+    step = float(-np.log(max(similarity - 0.05, 0.1)))  # room for the sketches' error
+    band = F.when(F.col("size") < 1, -1).otherwise(F.floor(F.log("size") / step)).cast("int")
+    banded = points.withColumn("band", band)
+    largest = banded.groupBy("band").count().agg(F.max("count")).first()[0] or 0
+    tree = plant(points, largest, shard, sample)
+
+    def visit(batches):
+        for batch in batches:
+            fps = batch.column("fp").to_numpy().view(np.uint64)
+            bands = batch.column("band").to_numpy()
+            for up in (0, 1):
+                rows, shards, home = route(tree, fps, radius, later=not up)
+                taken = batch.take(pa.array(rows))
+                home = home if not up else np.zeros(len(rows), bool)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((bands[rows] + up).astype(np.int32)), pa.array(shards), pa.array(home), *(taken.column(c) for c in ("rep", "fp", "sketch"))],
+                    names=["band", "shard", "home", "rep", "fp", "sketch"])
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["rep", "fp"], ignore_index=True)
+        sketches = np.frombuffer(b"".join(frame.pop("sketch")), "<u4").reshape(-1, BINS)
+
+        def verify(a, b):
+            return np.concatenate([alike(sketches[a[k : k + 4096]], sketches[b[k : k + 4096]]) for k in range(0, len(a), 4096)]) >= similarity
 
-    return points.mapInArrow(visit, "shard long, home boolean, rep long, fp long").groupBy("shard").applyInPandas(join, "a_rep long, a_fp long, b_rep long, b_fp long")
+        return _edges(frame, link_shard(frame["fp"].to_numpy().view(np.uint64), frame["home"].to_numpy(), radius, verify=verify))
+
+    visits = banded.select("band", "rep", "fp", "sketch").mapInArrow(visit, "band int, shard long, home boolean, rep long, fp long, sketch binary")
+    return visits.groupBy("band", "shard").applyInPandas(join, _EDGE)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -264,6 +383,16 @@ def components(edges: DataFrame) -> DataFrame:
 _LAST = (1 << 63) - 1
 
 
+def _labelled(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """rep, fp and component_id of every point."""
+    pair = lambda x: F.struct(F.col(f"{x}_rep").alias("rep"), F.col(f"{x}_fp").alias("fp")).alias(x)
+    labels = components(edges.select(pair("a"), pair("b")))
+    tops = labels.select(F.col("node.rep").alias("rep"), F.col("node.fp").alias("fp"), F.col("label.rep").alias("top"))
+    out = materialise(points.join(tops, ["rep", "fp"], "left").select("rep", "fp", F.nullif(F.coalesce("top", "rep"), F.lit(_LAST)).alias("component_id")))
+    discard(labels)
+    return out
+
+
 def near_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (least doc_id reachable over links) for every row of docs.
 
@@ -273,23 +402,51 @@ def near_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Dat
     """
     found = materialise(fingerprints(docs, words))
     points = materialise(found.groupBy("fp").agg(F.coalesce(F.min("doc_id").cast("long"), F.lit(_LAST)).alias("rep")).select("rep", "fp"))
-    edges = links(points, radius)
-    pair = lambda x: F.struct(F.col(f"{x}_rep").alias("rep"), F.col(f"{x}_fp").alias("fp")).alias(x)
-    labels = components(edges.select(pair("a"), pair("b")))
-    tops = labels.select(F.col("node.fp").alias("fp"), F.col("label.rep").alias("top"))
-    groups = materialise(points.join(tops, "fp", "left").select("fp", F.nullif(F.coalesce("top", "rep"), F.lit(_LAST)).alias("component_id")))
-    discard(labels)
+    groups = _labelled(points, links(points, radius)).select("fp", "component_id")
     discard(points)
     # A fingerprint with a third of all rows is split by the adaptive skew join: both sides come straight from tables.
     out = found.join(groups, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs whose id is the least of their component, with all their columns.
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, fp, size and sketch (binary) for every row; null texts count as empty."""
+    prepare(docs.sparkSession)
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            found = [sketch(x, words) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), pa.array(np.array([x[0] for x in found], np.uint64).view(np.int64)), pa.array([x[1] for x in found], pa.int64()),
+                pa.array([x[2].astype("<u4").tobytes() for x in found], pa.binary())], names=["doc_id", "fp", "size", "sketch"])
+
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long, size long, sketch binary")
+
+
+def similar_documents(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS) -> DataFrame:
+    """doc_id and component_id (least doc_id reachable) for every row of docs, over links between texts that share at
+    least `similarity` of their distinct word shingles: pairs of fingerprints within the radius, each verified by
+    sketches of BINS least hashes (standard error 0.025 at 0.8).
+
+    Nulls, repeated ids and other columns are treated as by near_dedup. At this radius the tree prunes little; what
+    keeps the work down are the bands of sizes, and it grows with the square of the distinct texts in a band.
+    """
+    found = materialise(sketches(docs, words).withColumn("print", F.xxhash64("fp", "size", "sketch")))
+    # Sketches are looked up by fingerprint, size and a hash, so that only the shards' shuffle carries them.
+    key = ["fp", "size", "print"]
+    points = materialise(found.groupBy(*key).agg(F.coalesce(F.min("doc_id").cast("long"), F.lit(_LAST)).alias("rep"), F.min("sketch").alias("sketch")))
+    groups = _labelled(points.select("rep", "fp").distinct(), similar_links(points, similarity, radius))
+    named = materialise(points.select("rep", *key).join(groups, ["rep", "fp"]).select(*key, "component_id"))
+    discard(points)
+    discard(groups)
+    return found.select("doc_id", *key).join(named, key).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS) -> DataFrame:
+    """The rows of docs that are not similar to one with a smaller id, over any number of links, with all their columns.
 
     Rows without an id stay; rows that repeat an id stay or go together.
     """
-    groups = near_dedup(docs, words, radius)
-    gone = groups.where("doc_id <> component_id").select("doc_id")
+    gone = similar_documents(docs, words, similarity, radius).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
