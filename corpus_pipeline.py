@@ -12,8 +12,8 @@ from weftline.session import materialise, read_table
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from the labels of the learning folds among docs."""
-    found = quality.classify(docs, read_table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
-    return found.where("predicted = 1").select(*docs.columns)
+    found = quality.classify(docs, read_table(spark, sf_dir, "labels"), keep_row=True)
+    return found.where("predicted = 1").select("row.*")
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +28,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each secret replaced by a mark, and n_chars of the new text where it changed."""
-    found = secrets.scan(docs, keep=tuple(c for c in docs.columns if c != "text"))
-    changed = found.withColumn("text", F.col("redacted"))
+    found = secrets.scan(docs, keep_row=True)
+    new = {"text": F.col("redacted")}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("spans") != "", F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("spans") != "", F.length("redacted").cast("long")).otherwise(F.col("row.n_chars"))
+    return found.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
