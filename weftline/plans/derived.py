@@ -149,3 +149,17 @@ LOG_SQL = """(SELECT event_id AS seq, CASE WHEN event_type = 'error' OR event_id
     'https://log.example/' || (event_id * 31 % 500) AS url,
     CASE WHEN event_type = 'error' OR event_id % 7 = 0 THEN NULL ELSE 'pages/' || event_id || '.html' END AS local_path,
     CASE WHEN event_type = 'error' OR event_id % 7 = 0 THEN 'error ' || (event_id % 3) END AS error, event_id * 0.25::DOUBLE AS timestamp FROM events)"""
+
+
+def site_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph as a site: each node a page with its three links, an image (one of seven) and a common stylesheet."""
+    pages = ids(spark, sf_dir)
+    n = pages.count()
+    links = F.concat(*(F.concat(F.lit('<a href="/'), F.expr(f"({e}) % {n}").cast("string"), F.lit('?utm_source=s#x">l</a>')) for e in ("2 * page_id + 1", "2 * page_id + 2", "7 * page_id + 3")))
+    html = F.concat(F.lit('<link rel="stylesheet" href="/s.css">'), links, F.lit('<img src="/img/'), F.expr("page_id % 7").cast("string"), F.lit('.png">'))
+    at = lambda path: F.concat(F.lit("https://graph.example/"), path)
+    fixed = lambda url, kind, body: (url, url, 200, kind, body)
+    more = [fixed(f"https://graph.example/img/{k}.png", "image/png", f"picture {k // 2}".encode()) for k in range(7)]
+    more += [fixed("https://graph.example/s.css", "text/css", b"a { b: url(bg.png) }"), fixed("https://graph.example/bg.png", "image/png", b"bg")]
+    told = pages.select(at(F.col("page_id").cast("string")).alias("url"), at(F.col("page_id").cast("string")).alias("final_url"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), html.cast("binary").alias("body"))
+    return told.unionByName(spark.createDataFrame(more, told.schema))

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import CrawlConfig
 from ..functions import paths as P
 from ..functions import text as T
 from ..functions import urls as U
@@ -17,6 +18,7 @@ from ..operators import admission, crawl, dedup, extract, rewrite, state
 from ..session import read_table
 from ..sources import project, responses
 from . import derived as D
+from . import site
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -604,3 +606,45 @@ def archive(spark, sf_dir):
 def saved_pages(spark, sf_dir):
     replies = D.responses(spark, sf_dir)
     return responses.saved_pages(responses.fetch_pages(replies.select("url"), replies))
+
+
+def _site(spark, sf_dir):
+    return site.archive_site(spark, D.site_responses(spark, sf_dir), CrawlConfig(start_url="https://graph.example/0", max_depth=4))
+
+
+_SITE_SQL = f"""{_GRAPH_SQL}, p AS (SELECT DISTINCT id FROM r)
+    SELECT 'https://graph.example/' || id AS url, CASE WHEN id = 0 THEN 'index.html' ELSE 'pages/' || id || '/index.html' END AS local_path FROM p
+    UNION ALL SELECT DISTINCT 'https://graph.example/img/' || (id % 7) || '.png', 'assets/img/' || (id % 7) || '.png' FROM p
+    UNION ALL SELECT 'https://graph.example/' || f, 'assets/' || f FROM (VALUES ('s.css'), ('bg.png')) x(f)"""
+
+
+@query("g2_g12_site_url_map", _SITE_SQL)
+def site_url_map(spark, sf_dir):
+    return _site(spark, sf_dir).url_map
+
+
+@query("g11_site_files", f"""{_GRAPH_SQL}, p AS (SELECT DISTINCT id FROM r),
+    l AS (SELECT p.id, k, CASE WHEN t = 0 THEN up || 'index.html' WHEN t IN (SELECT id FROM p) THEN up || CASE WHEN p.id = 0 THEN 'pages/' ELSE '' END || t || '/index.html' ELSE 'https://graph.example/' || t END AS href
+        FROM p, n, (VALUES (0, 2, 1), (1, 2, 2), (2, 7, 3)) v(k, a, b), LATERAL (SELECT (a * p.id + b) % n AS t), LATERAL (SELECT CASE WHEN p.id = 0 THEN '' WHEN t = 0 THEN '../../' ELSE '../' END AS up))
+    SELECT CASE WHEN id = 0 THEN 'index.html' ELSE 'pages/' || id || '/index.html' END AS local_path, count(*) FILTER (href NOT LIKE 'https:%') AS local_links FROM l GROUP BY id
+    UNION ALL SELECT 'assets/s.css', 0""")
+def site_files(spark, sf_dir):
+    """How many anchors of each rewritten file lead to other files; links with tracking parameters match in canonical form."""
+    found = _site(spark, sf_dir)
+    files = found.files.where("local_path NOT LIKE '%.css'").select("local_path", F.lit("html").alias("kind"), "text", F.lit("https://graph.example/0").alias("base_url"))
+    again = rewrite.rewrite_files(files, found.url_map.select("url", F.col("local_path").alias("target")), match="normalized")
+    count = F.size(F.filter(extract.anchors(F.col("text")), lambda h: F.endswith(h, F.lit("index.html")))).cast("long")
+    return again.select("local_path", count.alias("local_links")).unionByName(spark.createDataFrame([("assets/s.css", 0)], "local_path string, local_links long"))
+
+
+@query("io9_io10_project_tables", "SELECT 'https://site' || (page_id % 5) || '.example/' || page_id AS url, 'pages/' || page_id || '.html' AS local_path FROM pages")
+def project_tables(spark, sf_dir):
+    """A URL map that went into a project's tables and came back."""
+    import uuid
+
+    from ..session import shared_folder
+
+    root = f"{shared_folder(spark)}/project-{uuid.uuid4().hex}"
+    made = project.Project.create(spark, root, CrawlConfig(start_url="https://site0.example/", project_name="p"))
+    made.save(url_map=D.ids(spark, sf_dir).select(D.filled("{h}/{n}").alias("url"), D.filled("pages/{n}.html").alias("local_path")))
+    return project.Project.load(spark, root).table("url_map")
