@@ -33,10 +33,11 @@ SEED, WORDS, RADIUS = 42, 4, 4
 SAMPLE, SHARD = 4_096, 32_768
 LEAF = 128
 _BLOCK = 1 << 20
-#: Similar texts: words of a shingle, least share of common shingles, and the radius within which fingerprints of such
-#: texts lie but for a few in a hundred.
-SIMILAR_WORDS, SIMILARITY, SIMILAR_RADIUS, SIMILAR_SHARD = 5, 0.8, 13, 16_384
-BINS, EMPTY = 256, 0xFFFFFFFF
+#: Similar texts: words of a shingle, least share of common shingles, and a radius that holds the fingerprints of such
+#: texts. A shard has about so many points of its own, and a task twice as many visitors besides.
+SIMILAR_WORDS, SIMILARITY, SIMILAR_RADIUS, SIMILAR_SHARD = 5, 0.8, 16, 65_536
+#: Bins of a sketch, a byte each; half of the estimate's standard error at 0.8, in favour of a link.
+BINS, SLACK = 256, 0.0125
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
 _SLICE = 1 << 15
 
@@ -77,10 +78,11 @@ def _majority(ones: np.ndarray, n: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def sketch(text: str | None, words: int) -> tuple[int, int, np.ndarray]:
-    """The fingerprint, the number of distinct shingles, and the least hash of the shingles in each of BINS bins.
+def sketch(text: str | None, words: int) -> tuple[int, int, bytes]:
+    """The fingerprint, the number of distinct shingles, and a byte for each of BINS bins of their hashes.
 
-    Equal bins estimate the share of common shingles; an empty bin holds EMPTY.
+    The byte is drawn from the least hash in the bin and is 0 for an empty one. Equal bytes estimate the share of common
+    shingles; small sets lie nearly apart, so for them the estimate is all but exact.
     """
     ones, n, parts = np.zeros(64, np.int64), 0, []
     for hashes in shingle_hashes(text, words):
@@ -89,11 +91,10 @@ def sketch(text: str | None, words: int) -> tuple[int, int, np.ndarray]:
         parts.append(np.unique(hashes))
     distinct = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
     edges = np.searchsorted(distinct, _EDGES)
-    least = np.full(BINS, EMPTY, np.uint32)
     full = edges < np.append(edges[1:], len(distinct))
-    # The bin is the hash's upper bits; what is kept is below them.
-    least[full] = np.minimum((distinct[edges[full]] >> np.uint64(16)).astype(np.uint32), EMPTY - 1)
-    return _majority(ones, n), len(distinct), least
+    drawn = np.zeros(BINS, np.uint8)
+    drawn[full] = (distinct[edges[full]] >> np.uint64(8)) % np.uint64(255) + np.uint64(1)
+    return _majority(ones, n), len(distinct), drawn.tobytes()
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -203,8 +204,8 @@ class Forest:
         return self.parent
 
 
-def link_shard(points: np.ndarray, home: np.ndarray, radius: int = RADIUS, seed: int = 0, verify=None) -> np.ndarray:
-    """The least row that each row is linked with, through links between home rows and all rows.
+def link_shard(points: np.ndarray, home: np.ndarray, radius: int = RADIUS, seed: int = 0, verify=None, asking=None) -> np.ndarray:
+    """The least row that each row is linked with, through links between home rows and those asking (all, if not given).
 
     verify(a, b) tells which of the pairs within the radius are links; without it all are. It is asked only about pairs
     whose rows are not connected yet, and about one for each row first, so a cluster costs about a question a row.
@@ -228,7 +229,7 @@ def link_shard(points: np.ndarray, home: np.ndarray, radius: int = RADIUS, seed:
             rest[asked] = False
             a, b = a[rest], b[rest]
 
-    stack = [(np.flatnonzero(home), np.arange(len(points)))]
+    stack = [(np.flatnonzero(home), np.arange(len(points)) if asking is None else asking)]
     while stack:
         own, asking = stack.pop()
         if not len(own) or not len(asking):
@@ -263,10 +264,11 @@ def link_shard(points: np.ndarray, home: np.ndarray, radius: int = RADIUS, seed:
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated share of common shingles of rows of sketches: equal bins among those that either has; 1 for no shingles."""
-    same = ((a == b) & (a != EMPTY)).sum(1)
-    either = ((a != EMPTY) | (b != EMPTY)).sum(1)
-    return np.where(either == 0, 1.0, same / np.maximum(either, 1))
+    """Estimated share of common shingles of rows of sketches: bytes that are equal beyond chance, among the bins that
+    either fills; 1 where neither has any."""
+    either = ((a | b) != 0).sum(1)
+    same = ((a == b) & (a != 0)).sum(1)
+    return np.where(either == 0, 1.0, (255 * same / np.maximum(either, 1) - 1) / 254)
 
 
 def plant(points: DataFrame, n: int, shard: int, sample: int = SAMPLE) -> Node | int:
@@ -310,37 +312,47 @@ def similar_links(points: DataFrame, similarity: float, radius: int, sample: int
     """Edges that connect all points (rep, fp, size, sketch) within the radius whose sketches are alike enough.
 
     Texts of that similarity have sizes within the factor 1 / similarity, so points are parted into bands of sizes, and
-    meet those of their own and of the next band only; large bands are split into shards by the tree.
+    meet those of their own and of the next band only. The tree splits large bands into shards. A shard's visitors are
+    dealt out in blocks, each with a copy of the shard, so a task has a bounded number of rows whatever the input.
     """
     step = float(-np.log(max(similarity - 0.05, 0.1)))  # room for the sketches' error
-    band = F.when(F.col("size") < 1, -1).otherwise(F.floor(F.log("size") / step)).cast("int")
-    banded = points.withColumn("band", band)
-    largest = banded.groupBy("band").count().agg(F.max("count")).first()[0] or 0
-    tree = plant(points, largest, shard, sample)
+    banded = points.withColumn("band", F.when(F.col("size") < 1, -1).otherwise(F.floor(F.log("size") / step)).cast("int"))
+    counts = {r.band: r["count"] for r in banded.groupBy("band").count().collect()}  # some sixty bands of sizes
+    tree = plant(points, max(counts.values(), default=0), shard, sample)
+    blocks = {b: max(1, -(-(counts.get(b, 0) + counts.get(b - 1, 0)) // (2 * shard))) for b in range(-1, max(counts, default=0) + 2)}
 
     def visit(batches):
         for batch in batches:
-            fps = batch.column("fp").to_numpy().view(np.uint64)
-            bands = batch.column("band").to_numpy()
+            fps, bands = batch.column("fp").to_numpy().view(np.uint64), batch.column("band").to_numpy()
+            dealt = np.array([hash(x) for x in batch.column("rep").to_numpy().tolist()])
             for up in (0, 1):
                 rows, shards, home = route(tree, fps, radius, later=not up)
-                taken = batch.take(pa.array(rows))
                 home = home if not up else np.zeros(len(rows), bool)
+                number = np.array([blocks[x] for x in (bands[rows] + up).tolist()], np.int64)
+                # A point of the shard goes to all blocks, a visitor to one.
+                times = np.where(home, number, 1)
+                block = np.where(np.repeat(home, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times), np.repeat(dealt[rows] % np.maximum(number, 1), times))
+                rows, shards, home = (np.repeat(x, times) for x in (rows, shards, home))
+                taken = batch.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((bands[rows] + up).astype(np.int32)), pa.array(shards), pa.array(home), *(taken.column(c) for c in ("rep", "fp", "sketch"))],
-                    names=["band", "shard", "home", "rep", "fp", "sketch"])
+                    [pa.array((bands[rows] + up).astype(np.int32)), pa.array(shards), pa.array(block.astype(np.int32)), pa.array(home), *(taken.column(c) for c in ("rep", "fp", "sketch"))],
+                    names=["band", "shard", "block", "home", "rep", "fp", "sketch"])
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
+        first = frame["block"].iloc[0] == 0
         frame = frame.sort_values(["rep", "fp"], ignore_index=True)
-        sketches = np.frombuffer(b"".join(frame.pop("sketch")), "<u4").reshape(-1, BINS)
+        sketches = np.frombuffer(b"".join(frame.pop("sketch")), np.uint8).reshape(len(frame), BINS)
+        home = frame["home"].to_numpy()
 
         def verify(a, b):
-            return np.concatenate([alike(sketches[a[k : k + 4096]], sketches[b[k : k + 4096]]) for k in range(0, len(a), 4096)]) >= similarity
+            return np.concatenate([alike(sketches[a[k : k + 16_384]], sketches[b[k : k + 16_384]]) for k in range(0, len(a), 16_384)]) >= similarity - SLACK
 
-        return _edges(frame, link_shard(frame["fp"].to_numpy().view(np.uint64), frame["home"].to_numpy(), radius, verify=verify))
+        # The points of a shard meet each other in its first block.
+        asking = None if first else np.flatnonzero(~home)
+        return _edges(frame, link_shard(frame["fp"].to_numpy().view(np.uint64), home, radius, verify=verify, asking=asking))
 
-    visits = banded.select("band", "rep", "fp", "sketch").mapInArrow(visit, "band int, shard long, home boolean, rep long, fp long, sketch binary")
-    return visits.groupBy("band", "shard").applyInPandas(join, _EDGE)
+    visits = banded.select("band", "rep", "fp", "sketch").mapInArrow(visit, "band int, shard long, block int, home boolean, rep long, fp long, sketch binary")
+    return visits.groupBy("band", "shard", "block").applyInPandas(join, _EDGE)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -419,7 +431,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             found = [sketch(x, words) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array(np.array([x[0] for x in found], np.uint64).view(np.int64)), pa.array([x[1] for x in found], pa.int64()),
-                pa.array([x[2].astype("<u4").tobytes() for x in found], pa.binary())], names=["doc_id", "fp", "size", "sketch"])
+                pa.array([x[2] for x in found], pa.binary())], names=["doc_id", "fp", "size", "sketch"])
 
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long, size long, sketch binary")
 
@@ -427,10 +439,11 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 def similar_documents(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS) -> DataFrame:
     """doc_id and component_id (least doc_id reachable) for every row of docs, over links between texts that share at
     least `similarity` of their distinct word shingles: pairs of fingerprints within the radius, each verified by
-    sketches of BINS least hashes (standard error 0.025 at 0.8).
+    sketches of BINS bytes (standard error 0.025 at 0.8).
 
     Nulls, repeated ids and other columns are treated as by near_dedup. At this radius the tree prunes little; what
-    keeps the work down are the bands of sizes, and it grows with the square of the distinct texts in a band.
+    keeps the work down are the bands of sizes, and it grows with the square of the distinct texts in a band. Tasks
+    stay bounded.
     """
     found = materialise(sketches(docs, words).withColumn("print", F.xxhash64("fp", "size", "sketch")))
     # Sketches are looked up by fingerprint, size and a hash, so that only the shards' shuffle carries them.
