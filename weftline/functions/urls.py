@@ -58,12 +58,14 @@ def hostname(url: Column) -> Column:
 
 
 def _port(authority: Column) -> Column:
-    return F.regexp_extract(authority, r"^(?:.*@)?(?:\[[^\]]*\]|[^:]*):(.*)$", 1)
+    return F.regexp_extract(F.regexp_replace(authority, "^.*@", ""), r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1)
 
 
 def unsplit(scheme: Column, netloc: Column, path: Column, query: Column, fragment: Column) -> Column:
+    # After a host a path begins with a slash, also where too many `..` have taken it away.
+    rooted = F.when((netloc != "") & (path != "") & ~path.startswith("/"), F.lit("/")).otherwise("")
     return F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), F.when(netloc != "", F.concat(F.lit("//"), netloc)).otherwise(""), path,
+        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), F.when(netloc != "", F.concat(F.lit("//"), netloc)).otherwise(""), rooted, path,
         F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""))
 
 
@@ -88,7 +90,7 @@ def _merged(base_path: Column, relative: Column) -> Column:
 
     def finish(s):
         ended = F.try_element_at(s, F.lit(-1)).isin(".", "..")
-        # The fold sees the leading empty segment as any other, so a surplus `..` takes it, and the join restores it.
+        # The fold sees the leading empty segment as any other, so a surplus `..` takes it.
         folded = _folded(s, F.lit(True))
         return F.array_join(F.when(ended, F.concat(folded, F.array(F.lit("")))).otherwise(folded), "/")
 
