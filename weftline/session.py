@@ -51,12 +51,6 @@ def shared_folder(spark: SparkSession) -> str:
     return str(context._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """A checkpoint in the shared folder: it outlives lost executors, unlike one on their own disks."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -64,7 +58,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def materialise(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder; later steps read it and not what made it.
 
-    Unlike a checkpoint it computes the rows once.
+    Unlike checkpoint() it computes the rows once.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/weftline-{uuid.uuid4().hex}"
