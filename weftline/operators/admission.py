@@ -12,12 +12,12 @@ from ..functions.text import wanted_kind
 def decide_links(links: DataFrame, start: Column, visited: DataFrame, subdomains: bool = False, excluded_paths=(), strip: bool = True, url: str = "url") -> DataFrame:
     """Adds target (canonical, stripped) and decision: admitted, or the first reason against.
 
-    Reasons in order: blank, scheme, policy, visited, path. Visited addresses are met by an outer join after the cheap
-    tests, so only what they leave is compared.
+    Reasons in order: blank, scheme, policy, visited, path. visited has one row for each url. Both sides of the join are
+    plain tables, so the adaptive skew join can split an address that very many pages link to.
     """
     plain = U.normalise(F.col(url))
     rows = links.withColumn("plain", plain).withColumn("target", U.strip_tracking(F.col("plain")) if strip else F.col("plain"))
-    seen = visited.select(F.col("url").alias("target"), F.lit(True).alias("seen")).distinct()
+    seen = visited.select(F.col("url").alias("target"), F.lit(True).alias("seen"))
     rows = rows.join(seen, "target", "left")
     reason = (
         F.when(F.coalesce(F.col("plain"), F.lit("")) == "", "blank")
@@ -30,9 +30,9 @@ def decide_links(links: DataFrame, start: Column, visited: DataFrame, subdomains
 
 
 def decide_assets(assets: DataFrame, visited: DataFrame, policy: str = "all", excluded_extensions=(), url: str = "url", kind: str = "asset_type") -> DataFrame:
-    """Adds target and decision. Reasons in order: blank, scheme, visited, kind, extension."""
+    """Adds target and decision. Reasons in order: blank, scheme, visited, kind, extension. visited has one row for each url."""
     rows = assets.withColumn("target", U.normalise(F.col(url)))
-    seen = visited.select(F.col("url").alias("target"), F.lit(True).alias("seen")).distinct()
+    seen = visited.select(F.col("url").alias("target"), F.lit(True).alias("seen"))
     rows = rows.join(seen, "target", "left")
     reason = (
         F.when(F.coalesce(F.col("target"), F.lit("")) == "", "blank")

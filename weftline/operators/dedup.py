@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 
 def content_hash(df: DataFrame, body: str = "body") -> DataFrame:
     return df.withColumn("sha256", F.sha2(F.col(body).cast("binary"), 256))
@@ -19,11 +21,11 @@ def canonical_blobs(rows: DataFrame, key: str, order: str, body: str) -> DataFra
 def alias_bodies(rows: DataFrame, key: str, order: str, body: str) -> DataFrame:
     """key, sha256, canonical and is_alias for every row.
 
-    Rows and blobs meet by digest; both sides come straight from exchanges, so a hot digest is split by the adaptive
-    skew join.
+    The blobs are written to the shared folder first. So rows and blobs meet by digest straight from two scans, and the
+    adaptive skew join can split a digest that very many rows share.
     """
     hashed = rows.select(F.col(key).alias("key"), F.sha2(F.col(body).cast("binary"), 256).alias("sha256"))
-    blobs = canonical_blobs(rows, key, order, body).select("sha256", "canonical")
+    blobs = materialise(canonical_blobs(rows, key, order, body).select("sha256", "canonical"))
     return hashed.join(blobs, "sha256").select("key", "sha256", "canonical", (F.col("key") != F.col("canonical")).alias("is_alias"))
 
 
