@@ -159,3 +159,34 @@ def test_similar_documents(spark, monkeypatch, shard):
 def test_similar_odd_rows(odd):
     assert S.similar_documents(odd).count() == odd.count()
     assert S.similar_documents(odd.limit(0)).count() == 0
+
+
+def exact_components(texts):
+    sets, parent = [shingle_set(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] | sets[j])
+            if not both or len(sets[i] & sets[j]) / both >= 0.8:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in range(len(texts))}
+
+
+def test_links_are_those_of_exact_sets(spark):
+    """Pairs on both sides of the threshold, near enough to it that an estimate decides wrongly."""
+    texts = []
+    for k in range(60):
+        common = [f"c{k}.{i}" for i in range(1004)]
+        # n shingles more in each of two texts: 1000 / (1000 + 2 n) is 0.8 at n = 125.
+        n = 121 + k % 9
+        texts += [" ".join(common + [f"{side}{k}.{i}" for i in range(n)]) for side in "xy"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = exact_components(texts)
+    assert 0 < sum(i != c for i, c in want.items()) < 60
+    assert {r.doc_id: r.component_id for r in S.similar_documents(df).collect()} == want

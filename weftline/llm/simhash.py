@@ -10,7 +10,7 @@
    a shard returns at most one edge for each of its rows, whatever the size of a cluster.
 4. The forests of all shards are contracted to components, round by round, in tables of the shared folder.
 
-similar_documents() takes a wide radius instead and verifies each pair of fingerprints by sketches of the shingle sets.
+similar_documents() uses no fingerprints: it finds pairs by prefixes of the shingle sets and compares the sets themselves.
 
 Distances of 64-bit fingerprints crowd around 32, so a level of the tree prunes about a sixth of the visits: the
 comparisons grow with about the power 1.75 of the number of distinct fingerprints.
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import discard, materialise, prepare
@@ -33,11 +33,17 @@ SEED, WORDS, RADIUS = 42, 4, 4
 SAMPLE, SHARD = 4_096, 32_768
 LEAF = 128
 _BLOCK = 1 << 20
-#: Similar texts: words of a shingle, least share of common shingles, and a radius that holds the fingerprints of such
-#: texts. A shard has about so many points of its own, and a task twice as many visitors besides.
-SIMILAR_WORDS, SIMILARITY, SIMILAR_RADIUS, SIMILAR_SHARD = 5, 0.8, 16, 65_536
-#: Bins of a sketch, a byte each; half of the estimate's standard error at 0.8, in favour of a link.
-BINS, SLACK = 256, 0.0125
+#: Similar texts: words of a shingle, and the least share of common distinct shingles. Rows of one shingle that meet all
+#: others of it in a task.
+SIMILAR_WORDS, SIMILARITY, SIMILAR_SHARD = 5, 0.8, 4_096
+#: Frequent shingles of a sample of texts, which come last in the order of shingles. The order changes the work only.
+FREQUENT = 65_536
+#: Rows that a task sorts at once while it looks for shingles that texts share.
+SORTED = 250_000
+#: From so many texts with a shingle on, they are compared with a few of them first.
+CROWD, CENTRES = 8, 2
+#: Bins of a sketch, a byte each.
+BINS = 256
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
 _SLICE = 1 << 15
 
@@ -308,51 +314,179 @@ def links(points: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard:
     return points.mapInArrow(visit, "shard long, home boolean, rep long, fp long").groupBy("shard").applyInPandas(join, _EDGE)
 
 
-def similar_links(points: DataFrame, similarity: float, radius: int, sample: int = SAMPLE, shard: int = SIMILAR_SHARD) -> DataFrame:
-    """Edges that connect all points (rep, fp, size, sketch) within the radius whose sketches are alike enough.
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, ascending."""
+    parts = [np.unique(x) for x in shingle_hashes(text, words)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
-    Texts of that similarity have sizes within the factor 1 / similarity, so points are parted into bands of sizes, and
-    meet those of their own and of the next band only. The tree splits large bands into shards. A shard's visitors are
-    dealt out in blocks, each with a copy of the shard, so a task has a bounded number of rows whatever the input.
+
+def share(a: np.ndarray, b: np.ndarray) -> float:
+    """The share of common members of two shingle sets; 1 for two empty ones."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
+
+
+def prefix(members: np.ndarray, similarity: float, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first members of a set in an order of all shingles, so many that similar sets have one of them in common.
+
+    The order is that of the hashes; after all others come the frequent ones (ascending), by their ranks.
     """
-    step = float(-np.log(max(similarity - 0.05, 0.1)))  # room for the sketches' error
-    banded = points.withColumn("band", F.when(F.col("size") < 1, -1).otherwise(F.floor(F.log("size") / step)).cast("int"))
-    counts = {r.band: r["count"] for r in banded.groupBy("band").count().collect()}  # some sixty bands of sizes
-    tree = plant(points, max(counts.values(), default=0), shard, sample)
-    blocks = {b: max(1, -(-(counts.get(b, 0) + counts.get(b - 1, 0)) // (2 * shard))) for b in range(-1, max(counts, default=0) + 2)}
+    n = len(members) - int(np.ceil(similarity * len(members) - 1e-9)) + 1 if len(members) else 0
+    at = np.searchsorted(frequent, members)
+    often = np.zeros(len(members), bool)
+    inside = at < len(frequent)
+    often[inside] = frequent[at[inside]] == members[inside]
+    rare = members[~often]
+    if n <= len(rare):
+        return rare[:n]
+    late = members[often]
+    return np.concatenate([rare, late[np.argsort(rank[at[often]])]])[:n]
+
+
+def _frequent(rows: DataFrame, words: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a bounded sample have, ascending, and their ranks, the most frequent last."""
+    n = rows.count()
+    drawn = int(1_000_000 * sample / max(1, n)) + 1
+    some = rows.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1_000_000)) < drawn).select("text").limit(2 * sample)
 
-    def visit(batches):
+    def run(batches):
         for batch in batches:
-            fps, bands = batch.column("fp").to_numpy().view(np.uint64), batch.column("band").to_numpy()
-            dealt = np.array([hash(x) for x in batch.column("rep").to_numpy().tolist()])
-            for up in (0, 1):
-                rows, shards, home = route(tree, fps, radius, later=not up)
-                home = home if not up else np.zeros(len(rows), bool)
-                number = np.array([blocks[x] for x in (bands[rows] + up).tolist()], np.int64)
-                # A point of the shard goes to all blocks, a visitor to one.
-                times = np.where(home, number, 1)
-                block = np.where(np.repeat(home, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times), np.repeat(dealt[rows] % np.maximum(number, 1), times))
-                rows, shards, home = (np.repeat(x, times) for x in (rows, shards, home))
-                taken = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((bands[rows] + up).astype(np.int32)), pa.array(shards), pa.array(block.astype(np.int32)), pa.array(home), *(taken.column(c) for c in ("rep", "fp", "sketch"))],
-                    names=["band", "shard", "block", "home", "rep", "fp", "sketch"])
+            for text in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words).view(np.int64))], names=["shingle"])
+
+    counts = some.mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 1")
+    held = counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT).toArrow()["shingle"].to_numpy().view(np.uint64)
+    order = np.argsort(held)
+    return held[order], len(held) - order
+
+
+def shingle_prefixes(docs: DataFrame, words: int, similarity: float, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, size, digest of the shingle set and its prefix (binary) for every row; null texts count as empty."""
+    prepare(docs.sparkSession)
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    frequent, rank = _frequent(rows, words, sample)
+
+    def run(batches):
+        for batch in batches:
+            size, digest, first = [], [], []
+            for text in batch.column("text").to_pylist():
+                members = shingle_set(text, words)
+                size.append(len(members))
+                digest.append(_digest(members))
+                first.append(prefix(members, similarity, frequent, rank).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(first, pa.binary())],
+                names=["doc_id", "size", "digest", "prefix"])
+
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, size long, digest binary, prefix binary")
 
-    def join(frame: pd.DataFrame) -> pd.DataFrame:
-        first = frame["block"].iloc[0] == 0
-        frame = frame.sort_values(["rep", "fp"], ignore_index=True)
-        sketches = np.frombuffer(b"".join(frame.pop("sketch")), np.uint8).reshape(len(frame), BINS)
-        home = frame["home"].to_numpy()
 
-        def verify(a, b):
-            return np.concatenate([alike(sketches[a[k : k + 16_384]], sketches[b[k : k + 16_384]]) for k in range(0, len(a), 16_384)]) >= similarity - SLACK
+def _digest(members: np.ndarray) -> bytes:
+    from xxhash import xxh3_128_digest
 
-        # The points of a shard meet each other in its first block.
-        asking = None if first else np.flatnonzero(~home)
-        return _edges(frame, link_shard(frame["fp"].to_numpy().view(np.uint64), home, radius, verify=verify, asking=asking))
+    return xxh3_128_digest(members.tobytes())
 
-    visits = banded.select("band", "rep", "fp", "sketch").mapInArrow(visit, "band int, shard long, block int, home boolean, rep long, fp long, sketch binary")
-    return visits.groupBy("band", "shard", "block").applyInPandas(join, _EDGE)
+
+def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b: fp of points) whose distinct shingles, compared as sets, are common to that share."""
+    both = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    asked = materialise(both.join(points.select("fp", "rep", "digest"), "fp"))
+    # Sets are made anew from the texts of the pairs alone. Rows that repeat an id may differ: the digest tells.
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("rep"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            found = [shingle_set(x, words) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rep"), pa.array([_digest(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], names=["rep", "digest", "members"])
+
+    made = rows.join(asked.select("rep").distinct(), "rep", "left_semi").mapInArrow(run, "rep long, digest binary, members binary")
+    sets = materialise(made.join(asked, ["rep", "digest"]).groupBy("fp").agg(F.first("members").alias("members")))
+    discard(asked)
+
+    def compare(batches):
+        for batch in batches:
+            x, y = batch.column("x"), batch.column("y")
+            good = [share(*(np.frombuffer(z[k].as_buffer(), np.uint64) for z in (x, y))) >= similarity for k in range(len(batch))]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    x = sets.select(F.col("fp").alias("a"), F.col("members").alias("x"))
+    y = sets.select(F.col("fp").alias("b"), F.col("members").alias("y"))
+    out = materialise(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
+    discard(sets)
+    return out
+
+
+def _crowded(shared: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts with a few of those that have many shingles in common with them."""
+    step = float(-np.log(similarity))
+    out = None
+    for shift in (0.0, 0.5):
+        banded = shared.where(F.col("n") >= CROWD).withColumn("band", F.floor(F.log("size") / step + shift))
+        by = Window.partitionBy("token", "band")
+        centres = F.array(*(F.min(F.struct(F.xxhash64("fp", F.lit(k)).alias("h"), "fp")).over(by)["fp"] for k in range(CENTRES)))
+        some = banded.withColumn("centres", centres).select("fp", "size", F.explode(F.array_distinct("centres")).alias("centre"))
+        out = some if out is None else out.unionByName(some)
+    out = out.where("fp <> centre").groupBy("fp", "size", "centre").count()
+    out = out.where(F.col("count") * 2 >= F.col("size") * (1 - similarity))  # both shifts count, so a quarter to half of the prefix
+    return out.select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b")).distinct()
+
+
+def candidates(shared: DataFrame, similarity: float, shard: int) -> DataFrame:
+    """Pairs (a, b) of texts in different groups (label) that may be similar: every pair that is one is among them.
+
+    Of the shingles common to two texts, those that are in one's prefix but not in the other's come after the latter,
+    so beyond the common ones in the prefixes no more are left than follow a prefix. Rows of a frequent shingle are
+    dealt out in blocks, each of which meets all rows.
+    """
+    blocks = F.ceil(F.col("n") / shard).cast("long")
+    x = shared.select("token", F.pmod(F.xxhash64("fp"), blocks).alias("block"), *(F.col(c).alias(f"x_{c}") for c in ("fp", "size", "label")))
+    y = shared.select("token", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), *(F.col(c).alias(f"y_{c}") for c in ("fp", "size", "label")))
+    met = x.join(y, ["token", "block"]).where("x_label <> y_label AND (x_size < y_size OR x_size = y_size AND x_fp < y_fp)")
+    met = met.where(F.col("x_size") >= F.col("y_size") * similarity - 1e-6)
+    found = met.groupBy("x_fp", "y_fp", "x_size", "y_size").count()
+    least = (F.col("x_size") + F.col("y_size")) * (similarity / (1 + similarity))
+    return found.where(F.col("count") + F.ceil(F.col("y_size") * similarity - 1e-9) - 1 >= least - 1e-6).select(F.col("x_fp").alias("a"), F.col("y_fp").alias("b"))
+
+
+def similar_links(docs: DataFrame, similarity: float, words: int, sample: int = SAMPLE, shard: int = SIMILAR_SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (doc_id, size, digest), their distinct shingle sets as points (fp, rep, size, digest), and edges that
+    connect all points which share enough of their shingles.
+
+    Texts with a frequent shingle are compared with a few of each other first, so that a group of near copies becomes
+    one component; after that only pairs between components are looked at.
+    """
+    found = materialise(shingle_prefixes(docs, words, similarity, sample))
+    grouped = found.groupBy("size", "digest").agg(F.coalesce(F.min("doc_id").cast("long"), F.lit(_LAST)).alias("rep"), F.first("prefix").alias("prefix"))
+    points = materialise(grouped.withColumn("fp", F.monotonically_increasing_id()))
+
+    def tokens(batches):
+        for batch in batches:
+            found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("prefix")]
+            times = np.array([len(x) for x in found], np.int64)
+            for k in range(0, len(found), 100):
+                rows = pa.array(np.repeat(np.arange(k, k + len(times[k : k + 100])), times[k : k + 100]))
+                taken = batch.select(["fp", "size"]).take(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found[k : k + 100])), *taken.columns], names=["token", "fp", "size"])
+
+    n = points.agg(F.sum(F.length("prefix"))).first()[0] or 0
+    each = points.select("fp", "size", "prefix").mapInArrow(tokens, "token long, fp long, size long").repartition(n // 8 // SORTED + 1, "token")
+    shared = materialise(each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1"))
+    near = materialise(_crowded(shared, similarity))
+    first = verified(near, points, docs, words, similarity)
+    discard(near)
+    labels = components(first)
+    named = shared.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    named = materialise(named)
+    discard(shared)
+    discard(labels)
+    rest = materialise(candidates(named, similarity, shard))
+    discard(named)
+    second = verified(rest, points, docs, words, similarity)
+    discard(rest)
+    a, b = (points.select(F.col("fp").alias(x), F.col("rep").alias(f"{x}_rep")) for x in "ab")
+    edges = first.unionByName(second).join(a, "a").join(b, "b")
+    return found, points, edges.select("a_rep", F.col("a").alias("a_fp"), "b_rep", F.col("b").alias("b_fp"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -421,45 +555,25 @@ def near_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Dat
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, fp, size and sketch (binary) for every row; null texts count as empty."""
-    prepare(docs.sparkSession)
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-
-    def run(batches):
-        for batch in batches:
-            found = [sketch(x, words) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(np.array([x[0] for x in found], np.uint64).view(np.int64)), pa.array([x[1] for x in found], pa.int64()),
-                pa.array([x[2] for x in found], pa.binary())], names=["doc_id", "fp", "size", "sketch"])
-
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long, size long, sketch binary")
-
-
-def similar_documents(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id (least doc_id reachable) for every row of docs, over links between texts that share at
-    least `similarity` of their distinct word shingles: pairs of fingerprints within the radius, each verified by
-    sketches of BINS bytes (standard error 0.025 at 0.8).
+    least `similarity` of their distinct word shingles. All such pairs are linked, and no others: sets are compared by
+    the shingles' 64-bit hashes.
 
-    Nulls, repeated ids and other columns are treated as by near_dedup. At this radius the tree prunes little; what
-    keeps the work down are the bands of sizes, and it grows with the square of the distinct texts in a band. Tasks
-    stay bounded.
+    Nulls, repeated ids and other columns are treated as by near_dedup.
     """
-    found = materialise(sketches(docs, words).withColumn("print", F.xxhash64("fp", "size", "sketch")))
-    # Sketches are looked up by fingerprint, size and a hash, so that only the shards' shuffle carries them.
-    key = ["fp", "size", "print"]
-    points = materialise(found.groupBy(*key).agg(F.coalesce(F.min("doc_id").cast("long"), F.lit(_LAST)).alias("rep"), F.min("sketch").alias("sketch")))
-    groups = _labelled(points.select("rep", "fp").distinct(), similar_links(points, similarity, radius))
-    named = materialise(points.select("rep", *key).join(groups, ["rep", "fp"]).select(*key, "component_id"))
+    found, points, edges = similar_links(docs, similarity, words)
+    groups = _labelled(points.select("rep", "fp"), edges)
+    named = materialise(points.select("rep", "fp", "size", "digest").join(groups, ["rep", "fp"]).select("size", "digest", "component_id"))
     discard(points)
     discard(groups)
-    return found.select("doc_id", *key).join(named, key).select("doc_id", "component_id")
+    return found.select("doc_id", "size", "digest").join(named, ["size", "digest"]).select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that are not similar to one with a smaller id, over any number of links, with all their columns.
 
     Rows without an id stay; rows that repeat an id stay or go together.
     """
-    gone = similar_documents(docs, words, similarity, radius).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = similar_documents(docs, words, similarity).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
