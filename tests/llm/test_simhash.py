@@ -190,3 +190,32 @@ def test_links_are_those_of_exact_sets(spark):
     want = exact_components(texts)
     assert 0 < sum(i != c for i, c in want.items()) < 60
     assert {r.doc_id: r.component_id for r in S.similar_documents(df).collect()} == want
+
+
+def test_repeats_do_not_hide_a_copy(spark):
+    """Texts of one shingle set that repeat a line a different number of times, and pairs that differ in one line of it."""
+    rng, texts = np.random.default_rng(4), []
+    for k in range(20):
+        head, line = ([f"{c}{rng.integers(1 << 40)}" for _ in range(n)] for c, n in (("h", 300), ("l", 12)))
+        other = line[:-1] + [f"x{rng.integers(1 << 40)}"]
+        texts += [" ".join(head + line * n) for n in (2, 40)] + [" ".join(head + line + other * 40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = exact_components(texts)
+    assert set(want.values()) == set(range(0, 60, 3))
+    assert {r.doc_id: r.component_id for r in S.similar_documents(df).collect()} == want
+
+
+def test_crowds_and_frequent_shingles(spark, monkeypatch):
+    """Many texts that share half their shingles, copies among them, a crowd of copies on both sides of the threshold."""
+    rng, texts = np.random.default_rng(6), []
+    half = [f"f{i}" for i in range(60)]
+    for k in range(80):
+        words = half + [f"w{rng.integers(1 << 40)}" for _ in range(60)]
+        texts += [" ".join(words)] + [" ".join(words[:n]) for n in (90, 104)][: k % 3]
+    base = [f"b{i}" for i in range(150)]
+    texts += [edited(rng, base, s) for s in (0.01, 0.02, 0.03, 0.05) for _ in range(25)]
+    links = S.similar_links
+    for sample, shard in ((64, 4), (S.SAMPLE, S.SIMILAR_SHARD)):
+        monkeypatch.setattr(S, "similar_links", lambda d, s, w: links(d, s, w, sample=sample, shard=shard))
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert {r.doc_id: r.component_id for r in S.similar_documents(df).collect()} == exact_components(texts)
