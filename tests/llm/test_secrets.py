@@ -1,5 +1,7 @@
 import math
+import random
 import re
+import string
 from collections import Counter
 
 from hypothesis import given, settings
@@ -66,3 +68,18 @@ def test_odd_rows(odd):
     assert by[3].redacted is None and by[3].spans == "" and by[4].redacted == ""
     assert by[10].redacted == "[SECRET] [SECRET]" and by[10].n_assign == 1 and by[10].n_access == 1
     assert scan(odd.limit(0)).count() == 0
+
+
+def test_keys_are_found_behind_names_and_paths():
+    rng = random.Random(8)
+    classes = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "alnum": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/"}
+    for name, letters in classes.items():
+        for before, after in (("", ""), ("sig=", ""), ("a/path/", ""), ("key_", "=="), ("user-", "/x")):
+            alone = glued = 0
+            for _ in range(200):
+                key = "".join(rng.choices(letters, k=rng.randint(20, 31))) if name != "base64" else "".join(rng.choices(letters, k=40))
+                is_found = bool(list(random_spans(key, EntropyRule())))
+                spans = list(random_spans(f"see {before}{key}{after} now", EntropyRule()))
+                alone += is_found
+                glued += is_found and any(a < 4 + len(before) + len(key) and b > 4 + len(before) for a, b in spans)
+            assert alone > 150 and glued >= 0.99 * alone, (name, before, alone, glued)

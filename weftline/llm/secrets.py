@@ -3,7 +3,8 @@
 Candidates are runs of the characters that keys are written in. Over each, a window slides; the counts of its
 characters, and from them the sum of n log n, change by the one that enters and the one that leaves, so a window costs
 two updates whatever its width. A candidate whose windows exceed the threshold of its character class becomes a span,
-unless the allow-list suppresses it. Only spans of this kind are subject to the allow-list; pattern matches stay.
+unless the allow-list suppresses it. So does each run of a narrower class inside it, by the threshold of that class: a
+key is found as well behind `sig=` or `path/` as alone. Only spans of this kind are subject to the allow-list; pattern matches stay.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 KINDS = ("assign", "access", "hex", "entropy")
 #: Runs with neither a digit nor a mark are words; they are no candidates.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: The narrower classes' runs.
+NARROWER = re.compile(r"[A-Za-z0-9]{20,}"), re.compile(r"[0-9a-f]{20,}"), re.compile(r"[0-9A-F]{20,}")
 
 
 @dataclass(frozen=True)
@@ -72,18 +75,40 @@ def window_entropies(run: str, width: int):
             yield log2(width) - weighed / width
 
 
+def class_runs(run: str):
+    """(start, run) of a candidate and of the maximal runs of narrower classes in it that are long enough."""
+    yield 0, run
+    for narrow in NARROWER:
+        for m in narrow.finditer(run):
+            if m.end() - m.start() < len(run):
+                yield m.start(), m.group()
+
+
 def random_spans(text: str, rule: EntropyRule):
-    """Spans of candidates with a window beyond the threshold, from the first such window's start to the last's end."""
+    """Spans of runs with a window beyond the threshold, from the first such window's start to the last's end; spans of
+    one candidate that overlap are one."""
     allow = re.compile("|".join(f"(?:{x})" for x in rule.allow))
     for m in CANDIDATE.finditer(text):
-        run = m.group()
-        kind = char_class(run)
-        if kind is None or allow.fullmatch(run):
+        if allow.fullmatch(m.group()):
             continue
-        limit = rule.thresholds[kind]
-        over = [i for i, h in enumerate(window_entropies(run, rule.window)) if h >= limit]
-        if over:
-            yield m.start() + over[0], m.start() + over[-1] + rule.window
+        spans = []
+        for start, run in class_runs(m.group()):
+            kind = char_class(run)
+            if kind is None or allow.fullmatch(run):
+                continue
+            limit = rule.thresholds[kind]
+            over = [i for i, h in enumerate(window_entropies(run, rule.window)) if h >= limit]
+            if over:
+                spans.append((m.start() + start + over[0], m.start() + start + over[-1] + rule.window))
+        end = -1
+        for k, (a, b) in enumerate(sorted(spans)):
+            if k and a >= end:
+                yield first, end
+            if not k or a >= end:
+                first = a
+            end = max(end, b)
+        if spans:
+            yield first, end
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
