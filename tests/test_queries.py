@@ -50,3 +50,30 @@ def test_crawl_replay_equals_a_plain_loop(spark, sf_dir):
     want = sorted([(u, d, "visited") for u, d in visited.items()] + [(u, d, "failed") for u, d in failed.items()])
     got = sorted((r.url, r.depth, r.action) for r in QUERIES["g1_crawl_replay"](spark, sf_dir).collect())
     assert got == want
+
+
+def test_crawl_replay_goes_to_the_default_depth(spark):
+    from weftline.config import CrawlConfig
+    from weftline.plans import derived
+
+    sf_dir = "/root/testdata/sf0.01"
+    n = derived.ids(spark, sf_dir).count()
+    replies = {r.url: r for r in derived.responses(spark, sf_dir).collect()}
+    at = lambda i: f"https://graph.example/{i}"
+    visited, failed, level = {}, {}, [at(0)]
+    for depth in range(CrawlConfig(start_url=at(0)).max_depth + 1):
+        found = []
+        for url in level:
+            reply = replies.get(url)
+            if reply is None or reply.status >= 400:
+                failed[url] = depth
+                continue
+            for x in dict.fromkeys([url, reply.final_url]):
+                visited.setdefault(x, depth)
+            if "text/html" in reply.content_type:
+                i = int(reply.final_url.rpartition("/")[2])
+                found += [at(j) for j in ((2 * i + 1) % n, (2 * i + 2) % n, (7 * i + 3) % n)]
+        level = [u for u in dict.fromkeys(found) if u not in visited and u not in failed]
+    assert max(visited.values()) > 6
+    want = sorted([(u, d, "visited") for u, d in visited.items()] + [(u, d, "failed") for u, d in failed.items()])
+    assert sorted((r.url, r.depth, r.action) for r in QUERIES["g1_crawl_replay"](spark, sf_dir).collect()) == want

@@ -453,7 +453,7 @@ def bfs_depth(spark, sf_dir):
 def crawl_replay(spark, sf_dir):
     """A crawl over recorded responses with failures, redirects and other content; tests hold it against a plain loop."""
     _, links = D.graph(spark, sf_dir)
-    found = crawl.crawl(crawl.seed(spark, ["https://graph.example/0"]), links, D.responses(spark, sf_dir), max_depth=6)
+    found = crawl.crawl(crawl.seed(spark, ["https://graph.example/0"]), links, D.responses(spark, sf_dir))
     both = found.visited.select("url", "depth", F.lit("visited").alias("action")).unionByName(found.failed.select("url", "depth", F.lit("failed").alias("action")))
     return both.withColumn("depth", F.col("depth").cast("long"))
 
