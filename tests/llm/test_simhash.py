@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from weftline.llm import simhash as S
@@ -58,6 +59,36 @@ def test_shards_lose_no_pair(points, depth):
     assert (forest.settle() == brute(points)).all()
 
 
+def test_bands_lose_no_pair(points):
+    for bands in (2, 4, 5):
+        forest = S.Forest(len(points))
+        for k in range(bands):
+            parts = S.band(points, k, bands)
+            tree = S.build(np.random.default_rng(k).choice(parts, 200, replace=False), 4, seed=k)
+            rows, shards, home = S.route(tree, parts, 4 // bands)
+            for shard in np.unique(shards):
+                own = np.sort(rows[shards == shard])
+                forest.link(own, own[S.link_shard(points[own], np.isin(own, rows[home & (shards == shard)]))])
+        assert (forest.settle() == brute(points)).all()
+        assert (sum(S.band(points, k, bands).astype(object) << 64 * k // bands for k in range(bands)) == points.astype(object)).all()
+
+
+@pytest.mark.parametrize("n", [3_000, 6_000, 12_000])
+def test_tasks_have_bounded_rows(spark, n):
+    """One shard with half of all points, which all others visit: the largest task stays the same as the input grows."""
+    routed = spark.range(n).selectExpr("0 AS band", "CAST(0 AS long) AS shard", "id % 2 = 0 AS home", "id AS rep", "id AS fp")
+    dealt = S.grid(routed, rows=500).groupBy("band", "shard", "part", "asks").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.count(F.lit(1))).first()
+    assert dealt[0] < 1_300 and dealt[1] == -(-n // 1_000) * -(-n // 500)
+
+
+def test_parities_bound_differences():
+    rng = np.random.default_rng(8)
+    for n, k in ((10, 3), (400, 40), (3_000, 100)):
+        a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[k:], rng.integers(0, 1 << 64, k, dtype=np.uint64)]))
+        assert 0 < int(np.bitwise_count((S.parities(a) ^ S.parities(b)).view(np.uint64)).sum()) <= len(np.setxor1d(a, b))
+
+
 def test_degenerate_trees():
     same = np.full(50, 7, np.uint64)
     assert S.build(same, 5) == 0
@@ -89,7 +120,7 @@ def test_documents(documents, rows):
 
 def test_many_shards(documents, rows, monkeypatch):
     links = S.links
-    monkeypatch.setattr(S, "links", lambda points, radius: links(points, radius, sample=64, shard=20))
+    monkeypatch.setattr(S, "links", lambda points, radius: links(points, radius, sample=64, shard=20, rows=10))
     check(documents, rows)
 
 
@@ -111,25 +142,6 @@ def edited(rng, words, share):
     return " ".join(f"new{rng.integers(1 << 40)}" if rng.random() < share else w for w in words)
 
 
-def test_sketch_estimates_similarity():
-    rng = np.random.default_rng(2)
-    words = [f"w{rng.integers(1 << 40)}" for _ in range(3000)]
-    for share in (0, 0.01, 0.03, 0.1):
-        a, b = " ".join(words), edited(rng, words, share)
-        x, y = shingle_set(a), shingle_set(b)
-        (fa, na, sa), (fb, nb, sb) = S.sketch(a, 5), S.sketch(b, 5)
-        assert fa == S.fingerprint(a, 5) and na == len(x) and nb == len(y)
-        assert abs(pair(S.sketch(a, 5), S.sketch(b, 5)) - len(x & y) / len(x | y)) < 0.12
-    assert pair(S.sketch("", 5), S.sketch(None, 5)) == 1
-    few = "a b c d e f g h", "a b c d e f g x"
-    assert abs(pair(*(S.sketch(t, 5) for t in few)) - 3 / 5) < 0.01
-    assert pair(S.sketch("", 5), S.sketch("a", 5)) < 0.01
-
-
-def pair(x, y):
-    return S.alike(*(np.frombuffer(z[2], np.uint8)[None] for z in (x, y)))[0]
-
-
 @pytest.mark.parametrize("shard", [10_000, 16])
 def test_similar_documents(spark, monkeypatch, shard):
     rng = np.random.default_rng(3)
@@ -215,7 +227,7 @@ def test_crowds_and_frequent_shingles(spark, monkeypatch):
     base = [f"b{i}" for i in range(150)]
     texts += [edited(rng, base, s) for s in (0.01, 0.02, 0.03, 0.05) for _ in range(25)]
     links = S.similar_links
-    for sample, shard in ((64, 4), (S.SAMPLE, S.SIMILAR_SHARD)):
+    for sample, shard in ((64, 4), (S.FREQUENT_SAMPLE, S.SIMILAR_SHARD)):
         monkeypatch.setattr(S, "similar_links", lambda d, s, w: links(d, s, w, sample=sample, shard=shard))
         df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         assert {r.doc_id: r.component_id for r in S.similar_documents(df).collect()} == exact_components(texts)

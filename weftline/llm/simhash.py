@@ -1,19 +1,22 @@
 """SimHash near-deduplication over vantage-point trees, for exact pairs.
 
 1. Each text gets a 64-bit fingerprint of its word shingles; equal fingerprints become one point.
-2. A tree over a bounded sample splits the points into shards: at a node, those nearer to its vantage point than the
-   sample's median go inside. A point lives in one shard. It also visits every later shard that may hold points within
-   the radius: by the triangle inequality it can leave out a side only where its own distance to the vantage point
-   differs from the border by more than the radius. Of two linked points in different shards the one in the earlier
-   shard visits the other, so no pair is lost.
-3. In a shard a finer tree prunes in the same way; what is left is compared bit by bit. Links become a forest at once:
-   a shard returns at most one edge for each of its rows, whatever the size of a cluster.
-4. The forests of all shards are contracted to components, round by round, in tables of the shared folder.
-
-similar_documents() uses no fingerprints: it finds pairs by prefixes of the shingle sets and compares the sets themselves.
-
-Distances of 64-bit fingerprints crowd around 32, so a level of the tree prunes about a sixth of the visits: the
-comparisons grow with about the power 1.75 of the number of distinct fingerprints.
+2. A fingerprint is read in bands of bits. Two that differ in 4 bits at most differ in one bit at most in one of four
+   bands, so each band has a tree of its own and a search radius of one. Trees are placed by a sample: at a node, points
+   nearer to its vantage point than the sample's median go inside. A point lives in one shard of each tree, and visits
+   every later shard that may hold points within the radius: by the triangle inequality it leaves out a side only where
+   its own distance to the vantage point differs from the border by more than the radius. Of two points that are linked
+   in a band the one in the earlier shard visits the other, so no pair is lost.
+3. A shard is dealt out as a grid of blocks of its own points and blocks of all points that are there, so a task has a
+   bounded number of rows whatever the shard. In it a finer tree over whole fingerprints prunes in the same way; what is
+   left is compared bit by bit. Links become a forest at once: a task returns at most one edge for each of its rows.
+4. The forests of all tasks are contracted to components, round by round, in tables of the shared folder.
+
+similar_documents() compares whole shingle sets. Fingerprints and the trees propose links, which are verified; what they
+leave apart is found by prefixes of the sets.
+
+Distances in a band of 16 bits crowd around 8, so a level of a tree prunes about a third of the visits: they grow with
+about the power 1.45 of the number of distinct fingerprints.
 """
 
 from __future__ import annotations
@@ -29,22 +32,27 @@ from pyspark.sql import functions as F
 from ..session import discard, materialise, prepare
 
 SEED, WORDS, RADIUS = 42, 4, 4
-#: The sample that places the vantage points, and the points that a shard should hold.
-SAMPLE, SHARD = 4_096, 32_768
+#: Bands of a fingerprint, each with a tree of its own.
+BANDS = 4
+#: The points that a shard should hold, and the most rows of a block; a task has two blocks.
+SHARD, TASK_ROWS = 32_768, 32_768
+#: The sample that places the vantage points: so many, or a few for each shard up to a bound. It changes the work only.
+SAMPLE, SAMPLE_A_SHARD, MOST_SAMPLE = 4_096, 8, 1 << 20
 LEAF = 128
+#: Rows that are routed at once.
+ROUTED = 8_192
 _BLOCK = 1 << 20
 #: Similar texts: words of a shingle, and the least share of common distinct shingles. Rows of one shingle that meet all
 #: others of it in a task.
 SIMILAR_WORDS, SIMILARITY, SIMILAR_SHARD = 5, 0.8, 4_096
 #: Frequent shingles of a sample of texts, which come last in the order of shingles. The order changes the work only.
-FREQUENT = 65_536
+FREQUENT, FREQUENT_SAMPLE = 1 << 18, 16_384
 #: Rows that a task sorts at once while it looks for shingles that texts share.
 SORTED = 250_000
-#: From so many texts with a shingle on, they are compared with a few of them first.
-CROWD, CENTRES = 8, 2
-#: Bins of a sketch, a byte each.
-BINS = 256
-_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
+#: From so many texts with a shingle on, they are compared with a few of them first: a text with so many at most.
+CROWD, ASKED = 8, 3
+#: Words of 64 bits that tell by parity which shingles a set has.
+PARITIES = 8
 _SLICE = 1 << 15
 
 
@@ -84,25 +92,6 @@ def _majority(ones: np.ndarray, n: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def sketch(text: str | None, words: int) -> tuple[int, int, bytes]:
-    """The fingerprint, the number of distinct shingles, and a byte for each of BINS bins of their hashes.
-
-    The byte is drawn from the least hash in the bin and is 0 for an empty one. Equal bytes estimate the share of common
-    shingles; small sets lie nearly apart, so for them the estimate is all but exact.
-    """
-    ones, n, parts = np.zeros(64, np.int64), 0, []
-    for hashes in shingle_hashes(text, words):
-        ones += _bit_counts(hashes)
-        n += len(hashes)
-        parts.append(np.unique(hashes))
-    distinct = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-    edges = np.searchsorted(distinct, _EDGES)
-    full = edges < np.append(edges[1:], len(distinct))
-    drawn = np.zeros(BINS, np.uint8)
-    drawn[full] = (distinct[edges[full]] >> np.uint64(8)) % np.uint64(255) + np.uint64(1)
-    return _majority(ones, n), len(distinct), drawn.tobytes()
-
-
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) for every row; null texts count as empty."""
     prepare(docs.sparkSession)
@@ -210,31 +199,9 @@ class Forest:
         return self.parent
 
 
-def link_shard(points: np.ndarray, home: np.ndarray, radius: int = RADIUS, seed: int = 0, verify=None, asking=None) -> np.ndarray:
-    """The least row that each row is linked with, through links between home rows and those asking (all, if not given).
-
-    verify(a, b) tells which of the pairs within the radius are links; without it all are. It is asked only about pairs
-    whose rows are not connected yet, and about one for each row first, so a cluster costs about a question a row.
-    """
+def link_shard(points: np.ndarray, home: np.ndarray, radius: int = RADIUS, seed: int = 0, asking: np.ndarray | None = None) -> np.ndarray:
+    """The least row that each row is linked with, through links between home rows and those asking (all, if not given)."""
     forest, rng = Forest(len(points)), np.random.default_rng(seed)
-
-    def meet(a, b):
-        if verify is None:
-            forest.link(a, b)
-            return
-        while len(a):
-            x, y = forest.settle()[a], forest.parent[b]
-            apart = x != y
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            if not len(a):
-                return
-            asked = np.unique(np.concatenate([np.unique(x, return_index=True)[1], np.unique(y, return_index=True)[1]]))
-            good = asked[verify(a[asked], b[asked])]
-            forest.link(a[good], b[good])
-            rest = np.ones(len(a), bool)
-            rest[asked] = False
-            a, b = a[rest], b[rest]
-
     stack = [(np.flatnonzero(home), np.arange(len(points)) if asking is None else asking)]
     while stack:
         own, asking = stack.pop()
@@ -252,7 +219,7 @@ def link_shard(points: np.ndarray, home: np.ndarray, radius: int = RADIUS, seed:
             if inside.any() and not inside.all():
                 # All within half the radius of the vantage point are linked with each other: one forest edge each.
                 ball = own[d <= radius // 2]
-                if verify is None and len(ball) > 1:
+                if len(ball) > 1:
                     forest.link(ball[1:], np.full(len(ball) - 1, ball[0]))
                 e = far(points[asking], vantage).astype(np.int64)
                 stack.append((own[inside], asking[e - radius <= border]))
@@ -265,29 +232,31 @@ def link_shard(points: np.ndarray, home: np.ndarray, radius: int = RADIUS, seed:
                 some = asking[k : k + width]
                 at, to = np.nonzero(far(points[some][:, None], points[part][None, :]) <= radius)
                 at, to = some[at], part[to]
-                meet(at[at != to], to[at != to])
+                forest.link(at[at != to], to[at != to])
     return forest.settle()
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated share of common shingles of rows of sketches: bytes that are equal beyond chance, among the bins that
-    either fills; 1 where neither has any."""
-    either = ((a | b) != 0).sum(1)
-    same = ((a == b) & (a != 0)).sum(1)
-    return np.where(either == 0, 1.0, (255 * same / np.maximum(either, 1) - 1) / 254)
+def band(points: np.ndarray, k: int, bands: int) -> np.ndarray:
+    """The k-th of so many parts of each fingerprint."""
+    first, last = 64 * k // bands, 64 * (k + 1) // bands
+    return points >> np.uint64(first) & np.uint64((1 << last - first) - 1)
 
 
-def plant(points: DataFrame, n: int, shard: int, sample: int = SAMPLE) -> Node | int:
-    """A tree that splits n points (fp) into shards of about the given size, over a bounded sample of them."""
+def plant(points: DataFrame, n: int, shard: int, bands: int, sample: int = SAMPLE) -> list[Node | int]:
+    """For each band a tree that splits n points (fp) into shards of about the given size, over a sample of them; a
+    single shard needs no bands."""
     depth = max(0, int(np.ceil(np.log2(max(1, n / shard)))))
     if not depth:
-        return 0
-    share = min(1_000_000, int(1_000_000 * sample / n) + 1)
-    some = points.where(F.pmod(F.xxhash64("fp", F.lit("sample")), F.lit(1_000_000)) < share).select("fp").limit(2 * sample).toArrow()["fp"].to_numpy()
-    return build(some.view(np.uint64), depth)
+        return [0]
+    wanted = min(MOST_SAMPLE, max(sample, SAMPLE_A_SHARD << depth))
+    share = min(1_000_000_000, int(1_000_000_000 * wanted / n) + 1)
+    some = points.where(F.pmod(F.xxhash64("fp", F.lit("sample")), F.lit(1_000_000_000)) < share).select("fp").limit(2 * wanted).toArrow()["fp"].to_numpy().view(np.uint64)
+    return [build(band(some, k, bands), depth, seed=k) for k in range(bands)]
 
 
 _EDGE = "a_rep long, a_fp long, b_rep long, b_fp long"
+#: What a row is to its task: one that asks, one that is asked, or both.
+_ASKS, _ASKED, _BOTH = 0, 1, 2
 
 
 def _edges(frame: pd.DataFrame, least: np.ndarray) -> pd.DataFrame:
@@ -297,21 +266,56 @@ def _edges(frame: pd.DataFrame, least: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a_rep": reps[tied], "a_fp": fps[tied], "b_rep": reps[up], "b_fp": fps[up]})
 
 
-def links(points: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
-    """Edges a_rep, a_fp, b_rep, b_fp (b before a) that connect all points (rep, fp) with linked fingerprints."""
-    tree = plant(points, points.count(), shard, sample)
+def grid(routed: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """Deals the rows (band, shard, home, rep, fp) of a table out to tasks: adds part, of the asked, asks, of those that
+    ask, and role. A pair of an asked row and one that asks meets in one task; a task has about 2 * rows at most."""
+    held = routed.groupBy("band", "shard").agg(F.count(F.when(F.col("home"), 1)).alias("own"), F.count(F.lit(1)).alias("every")).where("own > 0")
+    blocks = lambda c: F.ceil(F.col(c) / rows).cast("int")
+    dealt = routed.join(held.select("band", "shard", blocks("own").alias("parts"), blocks("every").alias("askers")), ["band", "shard"])
+    dealt = dealt.withColumn("p", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("q", F.pmod(F.xxhash64("fp", F.lit("asks")), F.col("askers")).cast("int"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    asked = dealt.where("home").select("band", "shard", F.col("p").alias("part"), each("askers").alias("asks"), "q", "rep", "fp")
+    asked = asked.select("band", "shard", "part", "asks", F.when(F.col("q") == F.col("asks"), _BOTH).otherwise(_ASKED).alias("role"), "rep", "fp")
+    asking = dealt.select("band", "shard", each("parts").alias("part"), F.col("q").alias("asks"), F.lit(_ASKS).alias("role"), "rep", "fp", "home", "p")
+    return asked.unionByName(asking.where("NOT (home AND part = p)").drop("home", "p"))
+
+
+def links(points: DataFrame, radius: int = RADIUS, bands: int = BANDS, sample: int = SAMPLE, shard: int = SHARD, rows: int = TASK_ROWS) -> DataFrame:
+    """Edges a_rep, a_fp, b_rep, b_fp (b before a) that connect all points (rep, fp) with linked fingerprints, a table."""
+    trees = plant(points, points.count(), shard, bands, sample)
 
     def visit(batches):
-        for batch in batches:
-            rows, shards, home = route(tree, batch.column("fp").to_numpy().view(np.uint64), radius)
-            taken = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(home), taken.column("rep"), taken.column("fp")], names=["shard", "home", "rep", "fp"])
+        for table in _joined(batches, ROUTED):
+            fps = table["fp"].to_numpy().view(np.uint64)
+            for k, tree in enumerate(trees):
+                at, shards, home = route(tree, band(fps, k, bands), radius // bands)
+                taken = table.take(pa.array(at)).combine_chunks()
+                columns = [pa.array(np.full(len(at), k, np.int32)), pa.array(shards), pa.array(home), *(taken[c].combine_chunks() for c in ("rep", "fp"))]
+                yield pa.RecordBatch.from_arrays(columns, names=["band", "shard", "home", "rep", "fp"])
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["rep", "fp"], ignore_index=True)
-        return _edges(frame, link_shard(frame["fp"].to_numpy().view(np.uint64), frame["home"].to_numpy(), radius))
+        role = frame["role"].to_numpy()
+        least = link_shard(frame["fp"].to_numpy().view(np.uint64), role != _ASKS, radius, asking=np.flatnonzero(role != _ASKED))
+        return _edges(frame, least)
+
+    routed = materialise(points.select("rep", "fp").mapInArrow(visit, "band int, shard long, home boolean, rep long, fp long"))
+    out = materialise(grid(routed, rows).groupBy("band", "shard", "part", "asks").applyInPandas(join, _EDGE).distinct())
+    discard(routed)
+    return out
+
 
-    return points.mapInArrow(visit, "shard long, home boolean, rep long, fp long").groupBy("shard").applyInPandas(join, _EDGE)
+def _joined(batches, rows: int):
+    """Arrow batches as tables of so many rows at least, but for the last."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -320,6 +324,15 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
+def parities(members: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITIES classes of hashes whether a set has an odd number of them, in words of 64 bits.
+
+    Where two sets differ in k members, their parities differ in k bits at most.
+    """
+    odd = np.bincount((members % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def share(a: np.ndarray, b: np.ndarray) -> float:
     """The share of common members of two shingle sets; 1 for two empty ones."""
     common = len(np.intersect1d(a, b, assume_unique=True))
@@ -360,25 +373,40 @@ def _frequent(rows: DataFrame, words: int, sample: int) -> tuple[np.ndarray, np.
     return held[order], len(held) - order
 
 
-def shingle_prefixes(docs: DataFrame, words: int, similarity: float, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, size, digest of the shingle set and its prefix (binary) for every row; null texts count as empty."""
+_PARITY = [f"m{k}" for k in range(PARITIES)]
+
+
+def shingle_prefixes(docs: DataFrame, words: int, similarity: float, sample: int = FREQUENT_SAMPLE) -> DataFrame:
+    """doc_id, size, digest of the set of distinct shingles, its prefix (binary), its fingerprint sim and its parities m0
+    to m7 for every row; null texts count as empty."""
     prepare(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     frequent, rank = _frequent(rows, words, sample)
 
     def run(batches):
         for batch in batches:
-            size, digest, first = [], [], []
+            size, digest, first, sim, odd = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 members = shingle_set(text, words)
                 size.append(len(members))
                 digest.append(_digest(members))
                 first.append(prefix(members, similarity, frequent, rank).tobytes())
+                sim.append(_majority(sum((_bit_counts(members[k : k + _SLICE]) for k in range(0, len(members), _SLICE)), np.zeros(64, np.int64)), len(members)))
+                odd.append(parities(members))
+            bits = np.array(odd, np.int64).reshape(-1, PARITIES)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(first, pa.binary())],
-                names=["doc_id", "size", "digest", "prefix"])
+                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(first, pa.binary()),
+                 pa.array(np.array(sim, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(PARITIES))],
+                names=["doc_id", "size", "digest", "prefix", "sim", *_PARITY])
+
+    kinds = ", ".join(f"{m} long" for m in ("sim", *_PARITY))
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, size long, digest binary, prefix binary, {kinds}")
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, size long, digest binary, prefix binary")
+
+def _may_be_similar(x: str, y: str, similarity: float):
+    """A condition that all similar sets meet, by the sizes and parities in columns of two prefixes."""
+    differ = sum((F.bit_count(F.col(x + m).bitwiseXOR(F.col(y + m))) for m in _PARITY), F.lit(0))
+    return differ <= (F.col(f"{x}size") + F.col(f"{y}size")) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
 def _digest(members: np.ndarray) -> bytes:
@@ -418,46 +446,78 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, words: int, s
 
 
 def _crowded(shared: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of texts with a few of those that have many shingles in common with them."""
+    """Pairs (a, b) of texts with a few of those that have many shingles in common with them.
+
+    Centres of a shingle are the text whose shingles are the most frequent for its size, which is most like the others
+    of a group of copies, and one at random.
+    """
     step = float(-np.log(similarity))
+    crowds = shared.where(F.col("n") >= CROWD).select("token", "fp", "size", "n")
+    crowds = crowds.join(crowds.groupBy("fp").agg((F.sum("n") / F.max("size")).alias("weight")), "fp")
     out = None
     for shift in (0.0, 0.5):
-        banded = shared.where(F.col("n") >= CROWD).withColumn("band", F.floor(F.log("size") / step + shift))
-        by = Window.partitionBy("token", "band")
-        centres = F.array(*(F.min(F.struct(F.xxhash64("fp", F.lit(k)).alias("h"), "fp")).over(by)["fp"] for k in range(CENTRES)))
-        some = banded.withColumn("centres", centres).select("fp", "size", F.explode(F.array_distinct("centres")).alias("centre"))
+        by = Window.partitionBy("token", F.floor(F.log("size") / step + shift))
+        centres = [F.max(F.struct(of.alias("h"), "fp")).over(by)["fp"] for of in (F.col("weight"), F.xxhash64("fp"))]
+        some = crowds.withColumn("centres", F.array(*centres)).select("fp", "size", F.explode(F.array_distinct("centres")).alias("centre"))
         out = some if out is None else out.unionByName(some)
     out = out.where("fp <> centre").groupBy("fp", "size", "centre").count()
     out = out.where(F.col("count") * 2 >= F.col("size") * (1 - similarity))  # both shifts count, so a quarter to half of the prefix
-    return out.select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b")).distinct()
+    # The centres of a text are no more than the shingles in its prefix.
+    most = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("n"), F.xxhash64("centre").alias("h"), "centre"))), 1, ASKED)
+    out = out.groupBy("fp").agg(most.alias("most")).select("fp", F.explode("most.centre").alias("centre"))
+    return out.select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b"))
+
+
+def _proposed(points: DataFrame, shared: DataFrame, similarity: float, **options) -> DataFrame:
+    """Pairs (a, b) of texts that may be similar: those that fingerprints link, and texts in crowds with a few of them.
+
+    A text is in a bounded number of pairs that it proposes, so a group of copies costs its size and not its square.
+    """
+    alike = materialise(points.groupBy("sim").agg(F.min("fp").alias("rep")))
+    equal = points.select("sim", "fp").join(alike, "sim").where("fp <> rep").select(F.col("rep").alias("a"), F.col("fp").alias("b"))
+    trees = links(alike.select("rep", F.col("sim").alias("fp")), **options)
+    linked = trees.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b"))
+    pairs = materialise(equal.unionByName(linked).unionByName(_crowded(shared, similarity)).distinct())
+    discard(alike)
+    discard(trees)
+    for x in "ab":
+        pairs = pairs.join(points.select(F.col("fp").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("size", *_PARITY))), x)
+    return pairs.where(_may_be_similar("a_", "b_", similarity)).select("a", "b")
 
 
 def candidates(shared: DataFrame, similarity: float, shard: int) -> DataFrame:
     """Pairs (a, b) of texts in different groups (label) that may be similar: every pair that is one is among them.
 
-    Of the shingles common to two texts, those that are in one's prefix but not in the other's come after the latter,
-    so beyond the common ones in the prefixes no more are left than follow a prefix. Rows of a frequent shingle are
-    dealt out in blocks, each of which meets all rows.
+    Texts meet at a shingle that is in both prefixes, if their sizes and parities allow it. Before the first one that
+    they share, at places p and q, they have nothing in common, so they share no more than the lesser rest. Of all
+    common shingles those that are in one's prefix but not in the other's come after the latter, so beyond the common
+    ones in the prefixes no more are left than follow a prefix. Rows of a frequent shingle are dealt out in blocks, each
+    of which meets all rows.
     """
     blocks = F.ceil(F.col("n") / shard).cast("long")
-    x = shared.select("token", F.pmod(F.xxhash64("fp"), blocks).alias("block"), *(F.col(c).alias(f"x_{c}") for c in ("fp", "size", "label")))
-    y = shared.select("token", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), *(F.col(c).alias(f"y_{c}") for c in ("fp", "size", "label")))
-    met = x.join(y, ["token", "block"]).where("x_label <> y_label AND (x_size < y_size OR x_size = y_size AND x_fp < y_fp)")
-    met = met.where(F.col("x_size") >= F.col("y_size") * similarity - 1e-6)
-    found = met.groupBy("x_fp", "y_fp", "x_size", "y_size").count()
-    least = (F.col("x_size") + F.col("y_size")) * (similarity / (1 + similarity))
-    return found.where(F.col("count") + F.ceil(F.col("y_size") * similarity - 1e-9) - 1 >= least - 1e-6).select(F.col("x_fp").alias("a"), F.col("y_fp").alias("b"))
-
-
-def similar_links(docs: DataFrame, similarity: float, words: int, sample: int = SAMPLE, shard: int = SIMILAR_SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    told = ("fp", "size", "place", "label", *_PARITY)
+    x = shared.select("token", F.pmod(F.xxhash64("fp"), blocks).alias("block"), *(F.col(c).alias(f"x_{c}") for c in told))
+    y = shared.select("token", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), *(F.col(c).alias(f"y_{c}") for c in told))
+    met = (F.col("x_label") != F.col("y_label")) & F.expr("x_size < y_size OR x_size = y_size AND x_fp < y_fp")
+    met &= (F.col("x_size") >= F.col("y_size") * similarity - 1e-6) & _may_be_similar("x_", "y_", similarity)
+    least = (F.col("x_size") + F.col("y_size")) * (similarity / (1 + similarity)) - 1e-6
+    rest = F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place"))
+    found = x.join(y, ["token", "block"]).where(met).select("x_fp", "y_fp", "x_size", "y_size", rest.alias("rest"))
+    found = found.groupBy("x_fp", "y_fp", "x_size", "y_size").agg(F.count(F.lit(1)).alias("count"), F.max("rest").alias("rest"))
+    found = found.where((F.col("rest") >= least) & (F.col("count") + F.ceil(F.col("y_size") * similarity - 1e-9) - 1 >= least))
+    return found.select(F.col("x_fp").alias("a"), F.col("y_fp").alias("b"))
+
+
+def similar_links(docs: DataFrame, similarity: float, words: int, sample: int = FREQUENT_SAMPLE, shard: int = SIMILAR_SHARD, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows (doc_id, size, digest), their distinct shingle sets as points (fp, rep, size, digest), and edges that
     connect all points which share enough of their shingles.
 
-    Texts with a frequent shingle are compared with a few of each other first, so that a group of near copies becomes
-    one component; after that only pairs between components are looked at.
+    Texts that fingerprints link or that have a frequent shingle are compared with a few of each other first, so that a
+    group of near copies becomes one component; after that only pairs between components are looked at.
     """
     found = materialise(shingle_prefixes(docs, words, similarity, sample))
-    grouped = found.groupBy("size", "digest").agg(F.coalesce(F.min("doc_id").cast("long"), F.lit(_LAST)).alias("rep"), F.first("prefix").alias("prefix"))
+    grouped = found.groupBy("size", "digest").agg(
+        F.coalesce(F.min("doc_id").cast("long"), F.lit(_LAST)).alias("rep"), *(F.first(c).alias(c) for c in ("prefix", "sim", *_PARITY)))
     points = materialise(grouped.withColumn("fp", F.monotonically_increasing_id()))
 
     def tokens(batches):
@@ -465,21 +525,27 @@ def similar_links(docs: DataFrame, similarity: float, words: int, sample: int =
             found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("prefix")]
             times = np.array([len(x) for x in found], np.int64)
             for k in range(0, len(found), 100):
-                rows = pa.array(np.repeat(np.arange(k, k + len(times[k : k + 100])), times[k : k + 100]))
-                taken = batch.select(["fp", "size"]).take(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found[k : k + 100])), *taken.columns], names=["token", "fp", "size"])
+                some = times[k : k + 100]
+                taken = batch.select(["fp", "size"]).take(pa.array(np.repeat(np.arange(k, k + len(some)), some)))
+                place = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
+                columns = [pa.array(np.concatenate(found[k : k + 100])), *taken.columns, pa.array(place.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "fp", "size", "place"])
 
     n = points.agg(F.sum(F.length("prefix"))).first()[0] or 0
-    each = points.select("fp", "size", "prefix").mapInArrow(tokens, "token long, fp long, size long").repartition(n // 8 // SORTED + 1, "token")
-    shared = materialise(each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1"))
-    near = materialise(_crowded(shared, similarity))
+    each = points.select("fp", "size", "prefix").mapInArrow(tokens, "token long, fp long, size long, place int").repartition(n // 8 // SORTED + 1, "token")
+    token = Window.partitionBy("token")
+    shared = materialise(each.withColumn("n", F.count(F.lit(1)).over(token)).where("n > 1"))
+    near = materialise(_proposed(points, shared, similarity, **options))
     first = verified(near, points, docs, words, similarity)
     discard(near)
     labels = components(first)
-    named = shared.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    named = materialise(named)
-    discard(shared)
+    told = materialise(points.select("fp", *_PARITY).join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
     discard(labels)
+    # Shingles of one component only are left out before the parities join.
+    apart = shared.join(told.select("fp", "label"), "fp").withColumn("apart", F.min("label").over(token) != F.max("label").over(token))
+    named = materialise(apart.where("apart").drop("apart", "label").join(told, "fp"))
+    discard(shared)
+    discard(told)
     rest = materialise(candidates(named, similarity, shard))
     discard(named)
     second = verified(rest, points, docs, words, similarity)
@@ -548,8 +614,10 @@ def near_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Dat
     """
     found = materialise(fingerprints(docs, words))
     points = materialise(found.groupBy("fp").agg(F.coalesce(F.min("doc_id").cast("long"), F.lit(_LAST)).alias("rep")).select("rep", "fp"))
-    groups = _labelled(points, links(points, radius)).select("fp", "component_id")
+    edges = links(points, radius)
+    groups = _labelled(points, edges).select("fp", "component_id")
     discard(points)
+    discard(edges)
     # A fingerprint with a third of all rows is split by the adaptive skew join: both sides come straight from tables.
     out = found.join(groups, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
