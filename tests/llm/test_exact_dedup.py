@@ -60,7 +60,23 @@ def test_keep_one(odd):
 
 def test_no_python_in_the_plan(documents):
     plan = exact_dedup(documents)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Join" not in plan
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_ids_of_a_large_group_stay_with_their_salts(spark):
+    names = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        found = exact_dedup(spark.range(1_000_000).selectExpr("id AS doc_id", "'the same text' AS text"))
+        tasks = found.groupBy(F.spark_partition_id().alias("p"), "keep_id", "group_size").count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r.keep_id, r.group_size) for r in tasks} == {(999_999, 1_000_000)}
+    # 64 salts fall on 64 partitions by hash, a few of them on one.
+    assert len(tasks) >= 30 and max(r["count"] for r in tasks) < 120_000 and sum(r["count"] for r in tasks) == 1_000_000
 
 
 def test_normalise_is_ascii_only(spark):
