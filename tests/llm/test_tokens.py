@@ -139,3 +139,17 @@ def test_sequences_are_views(tmp_path):
     assert mask.to_pylist() == [True] * 16 + [False] * 48 and (last[:16] == ids[-16:]).all()
     assert (file.span(600, 2000) == ids[600:2600]).all() and len(file.span(0, 0)) == 0
     assert pa.ipc.open_stream(str(tmp_path / "x.arrows")).schema.field("ids").type.list_size == 64
+
+
+def test_many_special_strings_take_linear_time():
+    import time
+
+    from weftline.llm.bpe import _parts
+
+    special = {"<|endoftext|>": 0, "<|im_start|>": 1}
+    text = "a<|endoftext|><|im_start|>" * 50_000 + "b"
+    began = time.process_time()
+    parts = list(_parts(text, special))
+    assert time.process_time() - began < 1
+    assert len(parts) == 150_001 and "".join(p for p, _ in parts) == text and [i for _, i in parts[:3]] == [None, 0, 1]
+    assert list(_parts("", special)) == [] and list(_parts("x", {})) == [("x", None)]

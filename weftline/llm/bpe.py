@@ -188,18 +188,25 @@ def encode_pieces(name: str, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _by_piece(np.array(of, np.int64), counts, ids, lengths)
 
 
+@lru_cache(maxsize=8)
+def _special_pattern(special: tuple[str, ...]):
+    """Any of the special strings, the longest first where several begin at one place."""
+    import re
+
+    return re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+
+
 def _parts(text: str, special: dict):
     """The text cut at special strings, the leftmost first: (part, None) or (string, its id)."""
-    while text:
-        found = min(((text.find(s), -len(s), s) for s in special if s in text), default=None)
-        if found is None:
-            yield text, None
-            return
-        at, _, s = found
-        if at:
-            yield text[:at], None
-        yield s, special[s]
-        text = text[at + len(s) :]
+    pattern = _special_pattern(tuple(special))
+    at = 0
+    for found in pattern.finditer(text) if pattern else ():
+        if found.start() > at:
+            yield text[at : found.start()], None
+        yield found[0], special[found[0]]
+        at = found.end()
+    if at < len(text):
+        yield text[at:], None
 
 
 def _by_piece(of, counts, ids, lengths):
