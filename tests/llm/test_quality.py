@@ -53,3 +53,39 @@ def test_odd_rows(spark, odd):
     assert out.count() == odd.count() and out.select("row.*").columns == odd.columns
     assert Q.classify(odd, labels.limit(0)).select("score").distinct().count() == 1
     assert Q.classify(odd.limit(0), labels).count() == 0
+
+
+def test_risk_against_its_formula_and_slope_against_differences():
+    rng = np.random.default_rng(3)
+    for shift in (0.0, -4.0):  # with the negative part above and below zero
+        p, u, prior = rng.normal(1, 2, 40), rng.normal(shift, 0.5, 30), 0.7
+        softplus = lambda z: np.log(1 + np.exp(z))
+        plus = prior * sum(softplus(-z) for z in p) / 40
+        minus = sum(softplus(z) for z in u) / 30 - prior * sum(softplus(z) for z in p) / 40
+        assert np.allclose(Q.risk(p, u, prior), (plus, minus)) and (minus < 0) == (shift < 0)
+        # Below zero it is the negative part itself that the step reduces the other way.
+        value = lambda p, u: sum(Q.risk(p, u, prior)) if shift == 0 else -Q.risk(p, u, prior)[1]  # noqa: E731, B023
+        slope, e = Q.risk_slope(p, u, prior), 1e-6
+        for k in range(70):
+            a, b = np.concatenate([p, u]), np.concatenate([p, u])
+            a[k] += e
+            b[k] -= e
+            assert abs((value(a[:40], a[40:]) - value(b[:40], b[40:])) / (2 * e) - slope[k]) < 1e-6
+
+
+def test_prior_and_calibration_need_no_negatives():
+    rng = np.random.default_rng(4)
+    for prior in (0.3, 0.8):
+        y = rng.random(20_000) < prior
+        u, p = np.where(y, rng.normal(3, 1, 20_000), rng.normal(-3, 1, 20_000)), rng.normal(3, 1, 4_000)
+        assert abs(Q.estimate_prior(p, u) - prior) < 0.03
+        slope, shift = Q.calibrate(p, u, prior)
+        s = 1 / (1 + np.exp(-(slope * u + shift)))
+        assert abs(s.mean() - prior) < 0.02 and ((s >= 0.5) == y).mean() > 0.99
+    assert Q.estimate_prior(np.zeros(0), u) == 0.5 and Q.calibrate(p[:3], u, 0.5) == (1.0, 0.0)
+
+
+def test_labels_of_negatives_are_never_read(spark, documents, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    a, b = ({r.doc_id: r.score for r in Q.classify(documents, x).collect()} for x in (labels, labels.where("quality = 1")))
+    assert a == b

@@ -5,9 +5,10 @@ documents. The model minimises the non-negative risk estimate
 
     prior * R_P(+) + max(0, R_U(-) - prior * R_P(-))
 
-by Adam, stepping against the negative part when it falls below zero. The class prior is estimated from the learning
-folds. One network is trained without each of them, and their mean output is calibrated on the rows that were left out,
-so that it reads as a probability.
+by Adam, stepping against the negative part when it falls below zero. No labelled negative is used anywhere: the class
+prior comes from the least ratio of the unlabelled rows' and left-out positives' shares above a threshold of a first
+network's output. One network is trained without each learning fold. Slope and shift that turn their outputs into a
+probability minimise the same risk, which is convex in them, over left-out positives and the unlabelled rows.
 
 Inputs of a score are counts of a text's bytes and of adjacent byte classes, and how far its words and lines repeat; ids, language, source and labels are not.
 Training takes bounded samples (about SAMPLE rows of each set, chosen by a hash of the id); scoring covers every whole text.
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from ..session import prepare
 from .tokens import strings, units
 
-#: Rows that the positives, the unlabelled set and the calibration set are each bounded to.
+#: Rows that the positives and the unlabelled set are each bounded to.
 SAMPLE = 12_000
 HIDDEN, STEPS, BATCH, DECAY = 24, 500, 512, 3e-2
 #: Of the four folds of documents those that labels are learnt from.
@@ -96,7 +97,10 @@ class Network:
     b2: float
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return (np.maximum((x - self.mean) / self.spread @ self.w1 + self.b1, 0) @ self.w2 + self.b2).astype(np.float64)
+        def some(x):
+            return (np.maximum((x - self.mean) / self.spread @ self.w1 + self.b1, 0) @ self.w2 + self.b2).astype(np.float64)
+
+        return np.concatenate([some(x[k : k + 1024]) for k in range(0, max(1, len(x)), 1024)])
 
 
 @dataclass
@@ -111,35 +115,46 @@ class Model:
         return _sigmoid(self.slope * np.mean([n.raw(x) for n in self.networks], 0) + self.shift)
 
 
+def risk(p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """The positive and the negative part of the risk of outputs on positives and unlabelled rows, for the logistic losses
+    softplus(-z) for label 1 and softplus(z) for label 0. The non-negative risk is first + max(0, second)."""
+    return prior * float(np.logaddexp(0, -p).mean()), float(np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean())
+
+
+def risk_slope(p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """The slope of the risk in each output, positives first; where the negative part is below zero it overfits, and the
+    step goes back along it alone."""
+    a, b = _sigmoid(p), _sigmoid(u)
+    if risk(p, u, prior)[1] >= 0:
+        return np.concatenate([prior * ((a - 1) - a) / len(p), b / len(u)])
+    return np.concatenate([prior * a / len(p), -b / len(u)])
+
+
+def _moments(*sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and spread of the columns of all sets together, without a copy of them."""
+    n = sum(map(len, sets))
+    mean = sum(x.sum(0, dtype=np.float64) for x in sets) / n
+    square = sum(((x[k : k + 1024] - mean) ** 2).sum(0) for x in sets for k in range(0, len(x), 1024)) / n
+    return mean.astype(np.float32), (np.sqrt(square) + 0.05).astype(np.float32)
+
+
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 0) -> Network:
     """The network of least non-negative risk; without positives or unlabelled rows, one that gives the prior's logit."""
     rng = np.random.default_rng(seed)
-    every = np.concatenate([positive, unlabelled]) if len(unlabelled) else positive
     if not len(positive) or not len(unlabelled):
         zero = np.zeros(FEATURES, np.float32)
         return Network(zero, zero + 1, np.zeros((FEATURES, 1), np.float32), np.zeros(1, np.float32), np.zeros(1, np.float32), float(np.log(prior / (1 - prior))))
-    mean, spread = every.mean(0), every.std(0) + 0.05
+    mean, spread = _moments(positive, unlabelled)
     m = Network(mean, spread, (rng.normal(size=(FEATURES, HIDDEN)) / FEATURES**0.5).astype(np.float32), np.zeros(HIDDEN, np.float32), (rng.normal(size=HIDDEN) / HIDDEN**0.5).astype(np.float32), 0.0)
-    p, u = (positive - mean) / spread, (unlabelled - mean) / spread
     parts = [m.w1, m.b1, m.w2, np.zeros(1, np.float32)]
     first, second, step = [np.zeros_like(x) for x in parts], [np.zeros_like(x) for x in parts], 0
     for _ in range(STEPS):
-        a, b = p[rng.integers(len(p), size=BATCH)], u[rng.integers(len(u), size=BATCH)]
-        x = np.concatenate([a, b])
+        x = np.concatenate([positive[rng.integers(len(positive), size=BATCH)], unlabelled[rng.integers(len(unlabelled), size=BATCH)]])
+        x = (x - mean) / spread
         hidden = x @ parts[0] + parts[1]
         active = np.maximum(hidden, 0)
         z = active @ parts[2] + parts[3]
-        s = _sigmoid(z)
-        # Logistic losses: softplus(-z) for label 1, softplus(z) for label 0.
-        as_zero = np.logaddexp(0, z)
-        negative = as_zero[BATCH:].mean() - prior * as_zero[:BATCH].mean()
-        slope = np.empty_like(z)
-        if negative >= 0:
-            slope[:BATCH] = prior * ((s[:BATCH] - 1) - s[:BATCH]) / BATCH
-            slope[BATCH:] = s[BATCH:] / BATCH
-        else:  # the negative part overfits: step back along it alone
-            slope[:BATCH] = prior * s[:BATCH] / BATCH
-            slope[BATCH:] = -s[BATCH:] / BATCH
+        slope = risk_slope(z[:BATCH], z[BATCH:], prior)
         back = np.outer(slope, parts[2]) * (hidden > 0)
         grads = [x.T @ back + DECAY * parts[0], back.sum(0), active.T @ slope, slope.sum(keepdims=True)]
         step += 1
@@ -151,32 +166,57 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int
     return m
 
 
-def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift that turn outputs into probabilities of the labels, by Newton steps on the logistic loss."""
-    if len(y) < 10 or y.min() == y.max():
+def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
+    """The share of positives among the unlabelled rows, from outputs on left-out positives and on the unlabelled rows.
+
+    Of a share q of the positives above a threshold the unlabelled rows must hold at least prior * q, so the least ratio
+    of the two shares bounds the prior, and meets it where no negative is above. Bounds on both shares keep the few rows
+    above high thresholds from deciding.
+    """
+    if not len(p) or not len(u):
+        return 0.5
+    p, u = np.sort(p), np.sort(u)
+    cut = np.quantile(p, np.linspace(0, 0.9, 181))
+    above = lambda x: 1 - np.searchsorted(x, cut, "left") / len(x)
+    slack = lambda n: np.sqrt(np.log(20) / (2 * n))
+    bound = (above(u) + slack(len(u)) + slack(len(p))) / above(p)
+    best = int(np.argmin(bound))
+    return float(np.clip(above(u)[best] / above(p)[best], 0.01, 0.99))
+
+
+def calibrate(p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and shift of the outputs that minimise the unbiased risk -prior * E_P[z] + E_U[softplus(z)], by Newton steps."""
+    if len(p) < 10 or len(u) < 10:
         return 1.0, 0.0
-    center, width = z.mean(), z.std() + 1e-6
-    a = np.stack([(z - center) / width, np.ones_like(z)], 1)
+    center, width = u.mean(), u.std() + 1e-6
+    rows = lambda x: np.stack([(x - center) / width, np.ones_like(x)], 1)
+    pull, a = prior * rows(p).mean(0), rows(u)
     w = np.array([1.0, 0.0])
-    for _ in range(50):
+    for _ in range(100):
         s = _sigmoid(a @ w)
-        g = a.T @ (s - y) + 1e-2 * (w - [1, 0])
-        h = (a * (s * (1 - s))[:, None]).T @ a + 1e-2 * np.eye(2)
-        w = w - np.linalg.solve(h, g)
+        g = a.T @ s / len(a) - pull + 1e-3 * w * [1, 0]
+        h = (a * (s * (1 - s))[:, None]).T @ a / len(a) + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, g)
+        w = w - step * min(1.0, 1 / max(1e-9, np.abs(step).max()))
     if w[0] <= 0:  # higher must stay likelier
         return 1.0, 0.0
     return w[0] / width, w[1] - w[0] * center / width
 
 
-def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """A network for each learning fold, trained without it; the calibration sees only outputs on rows left out."""
-    networks, z = [], np.zeros(len(y))
+def fit(x: np.ndarray, fold: np.ndarray, unlabelled: np.ndarray) -> tuple[Model, float]:
+    """A network for each learning fold, trained on positives without it, and the class prior; prior and calibration see
+    only outputs on positives that were left out and on unlabelled rows."""
+    first = LEARNING[0]
+    trial = train(x[fold != first], unlabelled, 0.5, seed=-1 % 2**32)
+    prior = estimate_prior(trial.raw(x[fold == first]), trial.raw(unlabelled))
+    networks, z, u = [], np.zeros(len(x)), np.zeros(len(unlabelled))
     for k in LEARNING:
         out = fold == k
-        network = train(x[(y == 1) & ~out], unlabelled, prior, seed=k)
+        network = train(x[~out], unlabelled, prior, seed=k)
         networks.append(network)
         z[out] = network.raw(x[out])
-    return Model(networks, *calibrate(z, y))
+        u += network.raw(unlabelled) / len(LEARNING)
+    return Model(networks, *calibrate(z, u, prior)), prior
 
 
 def _fold(doc_id):
@@ -197,31 +237,33 @@ def _collected(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([table["label"].combine_chunks(), packed], names=["label", "x"])
 
     found = rows.mapInArrow(run, "label int, x binary").limit(most).toArrow()
-    x = np.frombuffer(b"".join(found["x"].to_pylist()), np.float32).reshape(-1, FEATURES)
+    x = np.empty((len(found), FEATURES), np.float32)
+    at = 0
+    for chunk in found["x"].chunks:
+        for row in chunk:
+            x[at] = np.frombuffer(row.as_buffer(), np.float32)
+            at += 1
     return x, found["label"].to_numpy()
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Trains on docs and on the labels of the learning folds; the same tables always give the same model.
 
-    Labels other than 0 and 1 and rows of the held-out fold are never read; an id with several labels counts once for
-    each. Without labels the prior is one half.
+    Only labels of 1 outside the held-out fold are read; an id with several counts once for each. Without any the score
+    of every text is that of an even prior.
     """
     prepare(docs.sparkSession)
-    told = labels.where(F.col("quality").isin(0, 1) & (_fold(F.col("doc_id")) != HELD_OUT)).select("doc_id", (2 * _fold(F.col("doc_id")) + F.col("quality")).cast("int").alias("label"))
-    counts = {r.label: r["count"] for r in told.groupBy("label").count().collect()}  # a row for each fold and label
-    ones, all_told = sum(n for k, n in counts.items() if k % 2), sum(counts.values())
-    prior = (ones + 1) / (all_told + 2)
+    told = labels.where((F.col("quality") == 1) & (_fold(F.col("doc_id")) != HELD_OUT)).select("doc_id", _fold(F.col("doc_id")).cast("int").alias("label"))
     rows = docs.select("doc_id", "text")
     bound = sample + sample // 10
     # The limit makes it safe to send the chosen labels, two numbers each, to all tasks.
-    chosen = F.broadcast(told.where(_share(all_told, sample)).limit(bound))
-    x, y = _collected(rows.join(chosen, "doc_id").select("label", "text"), bound)
+    chosen = F.broadcast(told.where(_share(told.count(), sample)).limit(bound))
+    x, fold = _collected(rows.join(chosen, "doc_id").select("label", "text"), bound)
     order = np.lexsort((*x.T[:8], x.sum(1)))
-    x, y = x[order], y[order]
+    x, fold = x[order], fold[order]
     u, _ = _collected(rows.where(_share(rows.count(), sample)).select(F.lit(0).alias("label"), "text"), bound)
     u = u[np.lexsort((*u.T[:8], u.sum(1)))]
-    return fit(x, y % 2, y // 2, u, prior)
+    return fit(x, fold, u)[0]
 
 
 def score(docs: DataFrame, model: Model, keep_row: bool = False) -> DataFrame:
