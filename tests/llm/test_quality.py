@@ -57,14 +57,14 @@ def test_odd_rows(spark, odd):
 
 def test_risk_against_its_formula_and_slope_against_differences():
     rng = np.random.default_rng(3)
-    for shift in (0.0, -4.0):  # with the negative part above and below zero
+    for shift in (3.0, -4.0):  # with the negative part above and below zero
         p, u, prior = rng.normal(1, 2, 40), rng.normal(shift, 0.5, 30), 0.7
         softplus = lambda z: np.log(1 + np.exp(z))
         plus = prior * sum(softplus(-z) for z in p) / 40
         minus = sum(softplus(z) for z in u) / 30 - prior * sum(softplus(z) for z in p) / 40
         assert np.allclose(Q.risk(p, u, prior), (plus, minus)) and (minus < 0) == (shift < 0)
         # Below zero it is the negative part itself that the step reduces the other way.
-        value = lambda p, u: sum(Q.risk(p, u, prior)) if shift == 0 else -Q.risk(p, u, prior)[1]  # noqa: E731, B023
+        value = lambda p, u: sum(Q.risk(p, u, prior)) if shift > 0 else -Q.risk(p, u, prior)[1]  # noqa: E731, B023
         slope, e = Q.risk_slope(p, u, prior), 1e-6
         for k in range(70):
             a, b = np.concatenate([p, u]), np.concatenate([p, u])
