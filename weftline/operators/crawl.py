@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import discard, materialise
@@ -65,7 +65,7 @@ def crawl(
             both = good.select(F.explode(F.array_distinct(F.array("url", F.coalesce("final_url", "url")))).alias("url"), "depth", "seq")
             new_visited = both.groupBy("url").agg(F.min_by("depth", "seq").alias("depth"), F.min("seq").alias("seq"))
             new_failed = met.where("status IS NULL OR status >= 400").select("url", "depth", "seq", F.lit("Fetch returned None").alias("error"))
-            pages = good.where(F.contains("content_type", F.lit("text/html"))).select("url", "depth", "seq", F.coalesce("final_url", "url").alias("page"))
+            pages = good.where(is_page_type(F.col("content_type"))).select("url", "depth", "seq", F.coalesce("final_url", "url").alias("page"))
         grown = materialise(visited.unionByName(new_visited.join(visited.select("url"), "url", "left_anti")))
         worse = failed if new_failed is None else materialise(failed.unionByName(new_failed))
         found = pages.select(F.col("page").alias("src_url"), "depth", "seq").join(links, "src_url")
@@ -84,6 +84,33 @@ def crawl(
     return Crawl(visited, failed, frontier, level)
 
 
+def is_page_type(content_type: Column) -> Column:
+    """Whether links of a response are followed."""
+    return F.contains(content_type, F.lit("text/html"))
+
+
+def queue_order(frontier: DataFrame) -> DataFrame:
+    """The frontier with place, 1 for the address that is taken first: by depth, then by the order of discovery.
+
+    Rows are dealt out by ranges and numbered in their part; of each part only its number of rows goes to the driver.
+    """
+    dealt = frontier.repartitionByRange("depth", "seq").withColumn("part", F.spark_partition_id())
+    held = materialise(dealt)
+    counts = sorted((r.part, r["count"]) for r in held.groupBy("part").count().collect())
+    before, rows = 0, []
+    for part, n in counts:
+        rows.append((part, before))
+        before += n
+    offsets = frontier.sparkSession.createDataFrame(rows, "part int, before long")
+    place = F.row_number().over(Window.partitionBy("part").orderBy("depth", "seq")) + F.col("before")
+    return held.join(offsets, "part").withColumn("place", place).drop("part", "before")
+
+
+def pop(frontier: DataFrame, n: int) -> DataFrame:
+    """The n addresses that are taken next; the whole frontier is what a level of crawl() takes."""
+    return queue_order(frontier).where(F.col("place") <= n)
+
+
 def retry_failed(failed: DataFrame) -> DataFrame:
     """Failed addresses as a frontier at depth 0, in their order; pass an emptied failed table on with it."""
     return failed.select("url", F.lit(0).alias("depth"), "seq")
@@ -95,14 +122,15 @@ def redirect_aliases(responses: DataFrame) -> DataFrame:
     return responses.select(F.explode(pair).alias("alias"), "url")
 
 
-def stylesheet_assets(sheets: DataFrame, css_depth: int = 1) -> DataFrame:
-    """Assets of saved stylesheets (page_id, css_url, css), followed through imports of other given sheets for css_depth levels."""
+def stylesheet_assets(sheets: DataFrame, css_depth: int = 1, saved: DataFrame | None = None) -> DataFrame:
+    """Assets of stylesheets (page_id, css_url, css), followed through imports of saved ones (or of these) for css_depth levels."""
+    saved = sheets if saved is None else saved
     from .extract import parse_stylesheets
 
     found = parse_stylesheets(sheets).withColumn("css_depth", F.lit(1))
     level = found
     for depth in range(2, css_depth + 1):
-        inner = level.where("asset_type = 'stylesheet'").select("url").distinct().join(sheets.select(F.col("css_url").alias("url"), "page_id", "css"), "url")
+        inner = level.where("asset_type = 'stylesheet'").select("url").distinct().join(saved.select(F.col("css_url").alias("url"), "page_id", "css"), "url")
         level = parse_stylesheets(inner.withColumnRenamed("url", "css_url")).withColumn("css_depth", F.lit(depth))
         found = found.unionByName(level)
     return found

@@ -27,10 +27,10 @@ def find_references(files: DataFrame, base_element: bool = False) -> DataFrame:
     def one(base, kind, text):
         if kind == "css":
             found: dict[str, str] = {}
-            for m in [*css.URL_CALL.finditer(text or ""), *css.IMPORT_TEXT.finditer(text or "")]:
-                to = css.reference(m["url"], base or "")
+            for raw in css.addresses(text or ""):
+                to = css.reference(raw, base or "")
                 if to is not None:
-                    found.setdefault(m["url"], to)
+                    found.setdefault(raw, to)
             return found.items()
         return html.references(text or "", base or "", base_element)
 
@@ -56,6 +56,16 @@ def local_references(refs: DataFrame, url_map: DataFrame, match: str = "exact")
     return joined.select("local_path", "raw", relative_path(F.col("local_path"), F.col("target")).alias("relative"))
 
 
+def existing_files(mapped: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows of a map (with local_path) whose file is among the saved ones (local_path)."""
+    return mapped.join(files.select("local_path"), "local_path", "left_semi")
+
+
+def saved_stylesheets(assets: DataFrame, url_map: DataFrame) -> DataFrame:
+    """url and local_path of the stylesheets that assets (url, asset_type) name and the map (url, local_path) has."""
+    return url_map.select("url", "local_path").join(assets.where("asset_type = 'stylesheet'").select("url"), "url", "left_semi")
+
+
 def rewrite_files(files: DataFrame, url_map: DataFrame, match: str = "exact", base_element: bool = False) -> DataFrame:
     """local_path and text of every file, its references replaced; pages declare UTF-8.
 

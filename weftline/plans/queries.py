@@ -305,11 +305,8 @@ def css_assets(spark, sf_dir):
 def stylesheet_expansion(spark, sf_dir):
     sheets = D.asset_sheets(spark, sf_dir)
     inner = D.ids(spark, sf_dir).select("page_id", D.filled("{h}/css/reset{n}.css").alias("css_url"), D.filled("a { b: url(deep{n}.png) }").alias("css"))
-    first = extract.parse_stylesheets(sheets)
-    followed = first.where("asset_type = 'stylesheet'").select("url").distinct().join(inner.withColumnRenamed("css_url", "url"), "url").withColumnRenamed("url", "css_url")
-    second = extract.parse_stylesheets(followed)
-    both = first.withColumn("css_depth", F.lit(1)).unionByName(second.withColumn("css_depth", F.lit(2)))
-    return both.select("page_id", F.col("css_depth").cast("long").alias("css_depth"), "url")
+    found = crawl.stylesheet_assets(sheets, 2, sheets.unionByName(inner))
+    return found.select("page_id", F.col("css_depth").cast("long").alias("css_depth"), "url")
 
 
 @query("s5_asset_type_counts", f"""
@@ -423,29 +420,31 @@ def blobs(spark, sf_dir):
     return dedup.canonical_blobs(read_table(spark, sf_dir, "documents"), "doc_id", "doc_id", "text")
 
 
-_ROBOTS = "User-agent: *\nDisallow: /a # first\nAllow: /a/b\nDisallow: /*.pdf\nDisallow:\n\nUser-agent: weft\nUser-agent: other\nDisallow: /only\n"
-_ASKED = {"deny": "{h}/a/b{n}", "open": "{h}/z{n}.pdf", "root": "{h}", "only": "{h}/only{n}", "elsewhere": "https://else.example/a"}
+_ROBOTS = "User-agent: we\nDisallow: /first\n\nUser-agent: *\nDisallow: /a # first\nAllow: /a/b\nDisallow: /*.pdf\nDisallow:\n\nUser-agent: weft\nUser-agent: other\nDisallow: /only\n"
+_ASKED = {"deny": "{h}/a/b{n}", "open": "{h}/z{n}.pdf", "root": "{h}", "only": "{h}/only{n}", "first": "{h}/first/{n}", "elsewhere": "https://else.example/a"}
 
 
-@query("f7_robots_filter", f"SELECT page_id, variant, variant <> 'deny' AS general, variant <> 'only' AS named FROM {D.variants_sql(_ASKED)}")
+@query("f7_robots_filter", f"SELECT page_id, variant, variant <> 'deny' AS general, variant <> 'first' AS named, variant <> 'only' AS other FROM {D.variants_sql(_ASKED)}")
 def robots_filter(spark, sf_dir):
     texts = D.ids(spark, sf_dir).select(U.hostname(F.expr(D.SITE)).alias("host"), F.lit(_ROBOTS).alias("text")).distinct()
     rules = admission.parse_robots(texts)
     general = admission.robots_filter(D.variants(spark, sf_dir, _ASKED), rules).withColumnRenamed("robots_ok", "general")
-    both = admission.robots_filter(general, rules, "Weft/1.0").withColumnRenamed("robots_ok", "named")
-    return both.select("page_id", "variant", "general", "named")
+    # Two groups name Weft, and the first of them counts.
+    named = admission.robots_filter(general, rules, "Weft/1.0").withColumnRenamed("robots_ok", "named")
+    other = admission.robots_filter(named, rules, "Other/2").withColumnRenamed("robots_ok", "other")
+    return other.select("page_id", "variant", "general", "named", "other")
 
 
 _GRAPH_SQL = """
     WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages),
     e AS (SELECT page_id AS a, unnest([(2 * page_id + 1) % n, (2 * page_id + 2) % n, (7 * page_id + 3) % n]) AS b FROM pages, n),
-    r(id, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT b, depth + 1 FROM r JOIN e ON e.a = r.id WHERE depth < 4)"""
+    r(id, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT b, depth + 1 FROM r JOIN e ON e.a = r.id WHERE depth < 10)"""
 
 
 @query("g1_bfs_depth", f"{_GRAPH_SQL} SELECT 'https://graph.example/' || id AS url, min(depth)::BIGINT AS depth FROM r GROUP BY id")
 def bfs_depth(spark, sf_dir):
     _, links = D.graph(spark, sf_dir)
-    found = crawl.crawl(crawl.seed(spark, ["https://graph.example/0"]), links, max_depth=4)
+    found = crawl.crawl(crawl.seed(spark, ["https://graph.example/0"]), links)
     return found.visited.select("url", F.col("depth").cast("long").alias("depth"))
 
 
@@ -469,13 +468,35 @@ def frontier(spark, sf_dir):
     return admission.new_urls(found, visited, failed).select("url")
 
 
-@query("s1_s2_frontier_order", "SELECT page_id, row_number() OVER (ORDER BY page_id % 4, page_id) AS place FROM pages QUALIFY place <= 10")
+@query("s1_s2_frontier_order", "SELECT page_id, row_number() OVER (ORDER BY page_id % 4, page_id % 7, page_id) AS place FROM pages")
 def frontier_order(spark, sf_dir):
-    """The ten addresses that a queue would give first."""
-    rows = D.ids(spark, sf_dir).select("page_id", (F.col("page_id") % 4).alias("depth")).orderBy("depth", "page_id").limit(10)
-    from pyspark.sql import Window
+    """The whole frontier in the order in which a queue gives it."""
+    seq = F.array((F.col("page_id") % 7).cast("long"), F.col("page_id"))
+    rows = D.ids(spark, sf_dir).select("page_id", D.filled("{h}/{n}").alias("url"), (F.col("page_id") % 4).cast("int").alias("depth"), seq.alias("seq"))
+    return crawl.queue_order(rows).select("page_id", F.col("place").cast("long").alias("place"))
 
-    return rows.select("page_id", F.row_number().over(Window.orderBy("depth", "page_id")).cast("long").alias("place"))  # ten rows
+
+@query("s2_pop", "SELECT page_id FROM pages QUALIFY row_number() OVER (ORDER BY page_id % 4, page_id DESC) <= 10")
+def pop(spark, sf_dir):
+    """The ten addresses that a queue gives first."""
+    rows = D.ids(spark, sf_dir).select("page_id", (F.col("page_id") % 4).cast("int").alias("depth"), F.array(-F.col("page_id")).alias("seq"))
+    return crawl.pop(rows, 10).select("page_id")
+
+
+@query("g5_g7_stop_resume", f"{_GRAPH_SQL} SELECT 'https://graph.example/' || id AS url, min(depth)::BIGINT AS depth FROM r GROUP BY id")
+def stop_resume(spark, sf_dir):
+    """A crawl that stops after three levels, is saved as a project and goes on from its tables."""
+    import uuid
+
+    from ..session import shared_folder
+
+    _, links = D.graph(spark, sf_dir)
+    first = crawl.crawl(crawl.seed(spark, ["https://graph.example/0"]), links, should_stop=lambda level: level == 3)
+    root = f"{shared_folder(spark)}/project-{uuid.uuid4().hex}"
+    project.Project.create(spark, root, CrawlConfig(start_url="https://graph.example/0", project_name="p")).save(visited=first.visited, failed=first.failed, frontier=first.frontier)
+    saved = project.Project.load(spark, root)
+    found = crawl.crawl(saved.table("frontier"), links, visited=saved.table("visited"), failed=saved.table("failed"))
+    return found.visited.select("url", F.col("depth").cast("long").alias("depth"))
 
 
 @query("j9_g10_redirect_aliases", f"SELECT DISTINCT alias, url FROM (SELECT url, unnest([url, final_url]) AS alias FROM {D.RESPONSES_SQL})")
@@ -503,7 +524,7 @@ def fetch_assets(spark, sf_dir):
 
 @query("f5_content_gate", f"SELECT content_type LIKE '%text/html%' AS page, count(*) AS responses FROM {D.RESPONSES_SQL} GROUP BY 1")
 def content_gate(spark, sf_dir):
-    return D.responses(spark, sf_dir).groupBy(F.contains("content_type", F.lit("text/html")).alias("page")).agg(F.count("*").alias("responses"))
+    return D.responses(spark, sf_dir).groupBy(crawl.is_page_type(F.col("content_type")).alias("page")).agg(F.count("*").alias("responses"))
 
 
 @query("g8_a8_retry_failed", f"SELECT url, 0::BIGINT AS depth FROM {D.RESPONSES_SQL} WHERE status >= 400")
@@ -514,15 +535,19 @@ def retry_failed(spark, sf_dir):
 
 def _rewritten_pages(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     files = D.asset_pages(spark, sf_dir).select(D.filled("pages/dir/p{n}.html").alias("local_path"), D.filled("{h}/b/").alias("base_url"), F.lit("html").alias("kind"), F.col("html").alias("text"))
-    url_map = D.variants(spark, sf_dir, {"x": "{h}/b/x{n}.html", "img": "{h}/b/img{n}.png?x=1&y=2", "a": "{h}/b/a{n}.png", "bg": "{h}/b/bg{n}.png", "poster": "{h}/b/po{n}.jpg", "video": "{h}/b/v{n}.mp4", "frame": "{h}/b/fr{n}", "in": "{h}/b/in{n}.png"})
-    target = F.concat(F.when(F.col("variant") == "x", "pages/b/x").otherwise(F.concat(F.lit("assets/"), F.col("variant"))), F.col("page_id").cast("string"), F.lit(".f"))
-    return files, url_map.select("url", target.alias("target"))
+    url_map = D.variants(spark, sf_dir, {"x": "{h}/b/x{n}.html", "img": "{h}/b/img{n}.png?x=1&y=2", "a": "{h}/b/a{n}.png", "bg": "{h}/b/bg{n}.png", "poster": "{h}/b/po{n}.jpg", "video": "{h}/b/v{n}.mp4", "frame": "{h}/b/fr{n}", "in": "{h}/b/in{n}.png",
+        "script": "https://cdn.example.com/{n}.js", "sheet": "{h}/b/s{n}.css", "icon": "{h}/i.ico", "pre": "{h}/b/p{n}.woff2", "webp": "{h}/b/c{n}.webp", "ogg": "{h}/b/a{n}.ogg", "face": "{h}/b/f{n}.woff2"}).distinct()
+    target = F.concat(F.when(F.col("variant") == "x", "pages/b/x").otherwise(F.concat(F.lit("assets/"), F.col("variant"))), F.when(F.col("variant") == "icon", "0").otherwise(F.col("page_id").cast("string")), F.lit(".f"))
+    # All pages of a site share one icon.
+    return files, url_map.select("url", target.alias("target")).distinct()
 
 
 def _rewritten_text() -> str:
     text = D.PAGE.replace("Shift_JIS", "UTF-8").replace('"x{n}.html"', '"../b/x{n}.f"').replace('"img{n}.png?x=1&amp;y=2"', '"../../assets/img{n}.f"')
     text = text.replace("a{n}.png 1x, b{n}.png 2x", "../../assets/a{n}.f 1x, b{n}.png 2x").replace('url("bg{n}.png")', 'url("../../assets/bg{n}.f")')
     text = text.replace("'po{n}.jpg'", "'../../assets/poster{n}.f'").replace("src=v{n}.mp4", 'src="../../assets/video{n}.f"').replace('"fr{n}"', '"../../assets/frame{n}.f"')
+    text = text.replace('"//cdn.example.com/{n}.js"', '"../../assets/script{n}.f"').replace('"s{n}.css"', '"../../assets/sheet{n}.f"').replace('"/i.ico"', '"../../assets/icon0.f"')
+    text = text.replace('"p{n}.woff2"', '"../../assets/pre{n}.f"').replace('"c{n}.webp 1x"', '"../../assets/webp{n}.f 1x"').replace('"a{n}.ogg"', '"../../assets/ogg{n}.f"').replace("url(f{n}.woff2)", "url(../../assets/face{n}.f)")
     return text.replace("url('in{n}.png')", "url('../../assets/in{n}.f')").replace("'", "''")
 
 
@@ -533,8 +558,8 @@ def rewrite_pages(spark, sf_dir):
 
 
 @query("r14_j4_local_references", """
-    SELECT 'pages/dir/p' || page_id || '.html' AS local_path, CASE WHEN v = 'x' THEN '../b/x' ELSE '../../assets/' || v END || page_id || '.f' AS relative
-    FROM pages, (VALUES ('x'), ('img'), ('a'), ('bg'), ('poster'), ('video'), ('frame'), ('in')) t(v)""")
+    SELECT 'pages/dir/p' || page_id || '.html' AS local_path, CASE WHEN v = 'x' THEN '../b/x' ELSE '../../assets/' || v END || CASE v WHEN 'icon' THEN 0 ELSE page_id END || '.f' AS relative
+    FROM pages, (VALUES ('x'), ('img'), ('a'), ('bg'), ('poster'), ('video'), ('frame'), ('in'), ('script'), ('sheet'), ('icon'), ('pre'), ('webp'), ('ogg'), ('face')) t(v)""")
 def local_references(spark, sf_dir):
     files, url_map = _rewritten_pages(spark, sf_dir)
     return rewrite.local_references(rewrite.find_references(files), url_map).select("local_path", "relative")
@@ -559,11 +584,20 @@ def rewrite_targets(spark, sf_dir):
     return saved.where(P.is_rewritable(F.col("local_path"))).agg(F.count("*").alias("files"))
 
 
-@query("f8_j6_saved_files", "SELECT page_id FROM pages WHERE page_id % 3 = 0")
+@query("f8_saved_files", f"SELECT url, body AS local_path FROM {D.RESPONSES_SQL} WHERE status < 400")
 def saved_files(spark, sf_dir):
-    mapped = D.ids(spark, sf_dir).select("page_id", D.filled("pages/{n}.html").alias("local_path"))
-    there = mapped.where("page_id % 3 = 0").select("local_path")
-    return mapped.join(there, "local_path", "left_semi").select("page_id")
+    """Entries of a URL map whose file was saved; a failed response has none."""
+    replies = D.responses(spark, sf_dir)
+    saved = responses.saved_pages(responses.fetch_pages(replies.select("url"), replies)).select(F.col("text").alias("local_path"))
+    return rewrite.existing_files(replies.select("url", F.col("body").cast("string").alias("local_path")), saved).select("url", "local_path")
+
+
+@query("j6_stylesheets", f"SELECT {D.SITE} || '/b/' || f || page_id || '.css' AS url, 'assets/' || f || page_id || '.css' AS local_path FROM pages, (VALUES ('s'), ('im')) v(f) WHERE page_id % 3 <> 1")
+def stylesheets(spark, sf_dir):
+    """Local paths of the stylesheets that pages name, linked or imported, among saved files."""
+    saved = D.variants(spark, sf_dir, {"s": "{h}/b/s{n}.css", "im": "{h}/b/im{n}.css", "bg": "{h}/b/bg{n}.png", "none": "{h}/b/none{n}.css"}).where("page_id % 3 <> 1")
+    local = F.concat(F.lit("assets/"), F.col("variant"), F.col("page_id").cast("string"), F.lit(".css"))
+    return rewrite.saved_stylesheets(html_assets(spark, sf_dir), saved.select("url", local.alias("local_path")))
 
 
 @query("a4_crawl_log_latest", f"SELECT url, arg_max(local_path, seq) AS local_path FROM {D.LOG_SQL} WHERE action = 'visited' GROUP BY url")
@@ -578,10 +612,11 @@ def errors_latest(spark, sf_dir):
 
 @query("a1_t13_crawl_summary", f"""
     SELECT count(DISTINCT url) FILTER (action = 'visited') AS visited, count(DISTINCT url) FILTER (action = 'failed') AS failed, (SELECT count(*) FROM pages) AS pending,
-        (SELECT count(DISTINCT text) FROM documents) AS blobs, round(max(timestamp) - min(timestamp), 2) AS elapsed, max(timestamp) AS timestamp FROM {D.LOG_SQL}""")
+        (SELECT count(DISTINCT text) FROM documents) AS blobs, round(max(timestamp * 1.001377) - min(timestamp * 1.001377), 2) AS elapsed, max(timestamp * 1.001377) AS timestamp FROM {D.LOG_SQL}""")
 def crawl_summary(spark, sf_dir):
     pending = D.ids(spark, sf_dir).select(D.filled("{h}/{n}").alias("url"))
-    return state.summarise(D.crawl_log(spark, sf_dir), pending, blobs(spark, sf_dir))
+    log = D.crawl_log(spark, sf_dir).withColumn("timestamp", F.col("timestamp") * F.lit(1.001377))  # seconds that need rounding
+    return state.summarise(log, pending, blobs(spark, sf_dir))
 
 
 @query("a6_t12_progress", f"""
@@ -596,10 +631,11 @@ def log_tail(spark, sf_dir):
     return state.log_tail(D.crawl_log(spark, sf_dir)).select("seq", "action")
 
 
-@query("io11_archive", "SELECT count(*)::BIGINT AS files FROM pages")
+@query("io11_archive", "SELECT 'pages/' || page_id || '.html' AS local_path, sha256(html) AS sha256 FROM pages")
 def archive(spark, sf_dir):
+    """Every file, read back from the archives."""
     files = read_table(spark, sf_dir, "pages").select(D.filled("pages/{n}.html").alias("local_path"), F.col("html").alias("body"))
-    return project.archive(files).agg(F.sum("files").alias("files"))
+    return project.archived_files(project.archive(files, 1 << 16)).select("local_path", F.sha2("body", 256).alias("sha256"))
 
 
 @query("io12_saved_pages", f"SELECT url, body AS text FROM {D.RESPONSES_SQL} WHERE status < 400")
@@ -609,7 +645,7 @@ def saved_pages(spark, sf_dir):
 
 
 def _site(spark, sf_dir):
-    return site.archive_site(spark, D.site_responses(spark, sf_dir), CrawlConfig(start_url="https://graph.example/0", max_depth=4))
+    return site.archive_site(spark, D.site_responses(spark, sf_dir), CrawlConfig(start_url="https://graph.example/0"))
 
 
 _SITE_SQL = f"""{_GRAPH_SQL}, p AS (SELECT DISTINCT id FROM r)
@@ -648,3 +684,74 @@ def project_tables(spark, sf_dir):
     made = project.Project.create(spark, root, CrawlConfig(start_url="https://site0.example/", project_name="p"))
     made.save(url_map=D.ids(spark, sf_dir).select(D.filled("{h}/{n}").alias("url"), D.filled("pages/{n}.html").alias("local_path")))
     return project.Project.load(spark, root).table("url_map")
+
+
+def _saved_project(spark, sf_dir) -> project.Project:
+    import uuid
+
+    from ..session import shared_folder
+
+    root = f"{shared_folder(spark)}/project-{uuid.uuid4().hex}"
+    config = CrawlConfig.from_dict({"start_url": "https://site0.example/", "project_name": "a/b", "max_depth": 7, "asset_filter": "odd", "later_setting": 1})
+    made = project.Project.create(spark, root, config)
+    log = D.crawl_log(spark, sf_dir)
+    failed = state.latest_errors(log).select("url", F.lit(2).alias("depth"), F.array(F.lit(1).cast("long")).alias("seq"), "error")
+    frontier = D.ids(spark, sf_dir).select(D.filled("{h}/{n}").alias("url"), F.lit(1).alias("depth"), F.array("page_id").alias("seq"))
+    made.save(failed=failed, blobs=blobs(spark, sf_dir).withColumn("canonical", F.col("canonical").cast("string")), frontier=frontier)
+    made.append_log(log)
+    return project.Project.load(spark, root)
+
+
+@query("io9_errors", f"SELECT url, arg_max(error, seq) AS error FROM {D.LOG_SQL} WHERE action = 'failed' GROUP BY url")
+def project_errors(spark, sf_dir):
+    """Errors that went into a project and came back."""
+    return _saved_project(spark, sf_dir).table("failed").select("url", "error")
+
+
+@query("io9_frontier", f"SELECT {D.SITE} || '/' || page_id AS url, 1::BIGINT AS depth FROM pages")
+def project_frontier(spark, sf_dir):
+    return _saved_project(spark, sf_dir).table("frontier").select("url", F.col("depth").cast("long").alias("depth"))
+
+
+@query("io10_blobs", "SELECT sha256(text) AS sha256, min(doc_id)::VARCHAR AS canonical FROM documents GROUP BY text")
+def project_blobs(spark, sf_dir):
+    return _saved_project(spark, sf_dir).table("blobs").select("sha256", "canonical")
+
+
+@query("io5_io6_log", f"SELECT seq, action, url FROM {D.LOG_SQL}")
+def project_log(spark, sf_dir):
+    """A crawl's log that was appended as JSON lines and read again."""
+    return _saved_project(spark, sf_dir).log().select("seq", "action", "url")
+
+
+@query("io7_s7_settings", "SELECT 'https://site0.example/' AS start_url, 'a_b' AS project_name, 7::BIGINT AS max_depth, 'all' AS asset_filter, 10::BIGINT AS default_depth")
+def project_settings(spark, sf_dir):
+    """Settings that were saved: unknown names are passed over, an unknown policy is all, the name is made safe."""
+    config = _saved_project(spark, sf_dir).config()
+    return spark.createDataFrame(
+        [(config.start_url, config.project_name, config.max_depth, config.asset_filter, CrawlConfig().max_depth)], "start_url string, project_name string, max_depth long, asset_filter string, default_depth long")
+
+
+@query("io3_rendered_pages", f"SELECT url, CASE WHEN page_id % 2 = 0 THEN '<i>' || page_id || '</i>' ELSE body END AS text FROM {D.RESPONSES_SQL} WHERE status < 400")
+def rendered_pages(spark, sf_dir):
+    """Pages whose rendered form was recorded have that as their text."""
+    number = F.regexp_extract("url", r"(\d+)$", 1)
+    replies = D.responses(spark, sf_dir).withColumn("rendered_html", F.when(number.cast("long") % 2 == 0, F.concat(F.lit("<i>"), number, F.lit("</i>"))))
+    return responses.fetch_pages(replies.select("url"), replies).where("ok").select("url", "text")
+
+
+@query("u4_subdomains", "SELECT page_id, page_id % 3 <> 2 AS taken FROM pages")
+def subdomains(spark, sf_dir):
+    """Links within a site and its subdomains are followed where the settings say so."""
+    url = F.expr("CASE page_id % 3 WHEN 0 THEN 'https://example.com/a' WHEN 1 THEN 'https://sub.example.com/b' ELSE 'https://notexample.com/c' END")
+    return D.ids(spark, sf_dir).select("page_id", U.should_crawl(url, F.lit("https://example.com/"), True).alias("taken"))
+
+
+_FRAMES = {"frame": '<frameset><frame src="f{n}.htm"><frame src=\'none.htm\'></frameset>', "iframe": '<iframe src=f{n}.htm></iframe>'}
+_FRAMED = {"frame": '<frameset><frame src="f{n}.html"><frame src=\'none.htm\'></frameset>', "iframe": '<iframe src="f{n}.html"></iframe>'}
+
+
+@query("x4_r11_frames", f"SELECT variant || page_id AS local_path, html AS text FROM {D.variants_sql(_FRAMED, 'html')}")
+def frames(spark, sf_dir):
+    files = D.variants(spark, sf_dir, _FRAMES, "html").select(F.concat("variant", F.col("page_id").cast("string")).alias("local_path"), D.filled("{h}/").alias("base_url"), F.lit("html").alias("kind"), F.col("html").alias("text"))
+    return rewrite.rewrite_files(files, D.ids(spark, sf_dir).select(D.filled("{h}/f{n}.htm").alias("url"), D.filled("f{n}.html").alias("target")))

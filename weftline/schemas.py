@@ -7,7 +7,7 @@ FAILED = "url string, depth int, seq array<bigint>, error string"
 URL_MAP = "url string, local_path string"
 BLOBS = "sha256 string, canonical string, copies bigint"
 LOG = "seq bigint, action string, url string, local_path string, error string, timestamp double"
-ROBOTS = "host string, agent string, seq int, allow boolean, prefix string"
+ROBOTS = "host string, agent string, part int, seq int, allow boolean, prefix string"
 MANIFEST = "project_name string, created_at double, version string, last_saved_at double"
 SETTINGS = (
     "start_url string, output_dir string, project_name string, same_host_only boolean, include_subdomains boolean, max_depth int, concurrency int, "

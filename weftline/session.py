@@ -45,6 +45,8 @@ def shared_folder(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named.rstrip("/")
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="weftline-shared-")
         atexit.register(shutil.rmtree, folder, True)
         context.setCheckpointDir(f"file://{folder}")
@@ -63,6 +65,8 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/weftline-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place, system = _located(spark, path)
+    system.deleteOnExit(place)  # at the latest; discard() deletes it before
     out = spark.read.schema(df.schema).parquet(path)
     out._weftline_path = path
     return out
@@ -72,6 +76,10 @@ def discard(df: DataFrame) -> None:
     """Deletes a table that materialise() made and that nothing reads any more."""
     path = getattr(df, "_weftline_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+        place, system = _located(df.sparkSession, path)
+        system.delete(place, True)
+
+
+def _located(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())

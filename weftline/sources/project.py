@@ -7,6 +7,7 @@ import time
 import zipfile
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,20 +129,52 @@ def export_files(files: DataFrame, root: str) -> DataFrame:
     return rows.mapInArrow(run, "local_path string, bytes long")
 
 
-def archive(files: DataFrame, key: str = "shard", shards: int = 16) -> DataFrame:
-    """One ZIP (deflate) for each of a number of shards: shard, archive and files (the number in it).
+#: Bytes of bodies after which an archive is closed.
+ARCHIVE_BYTES = 64 << 20
 
-    Files (local_path, body) are dealt out by their path; a shard's archive is one value, so shards should grow with
-    the project.
+
+def archive(files: DataFrame, most: int = ARCHIVE_BYTES) -> DataFrame:
+    """ZIP archives (deflate) of files (local_path, body): shard, archive and files (the number in it).
+
+    Files are dealt out by their paths to as many tasks as their bytes ask for, in order of path. A task closes an
+    archive once it holds `most` bytes, so its memory does not grow with the project; one file is the least archive.
     """
-    rows = files.select("local_path", F.col("body").cast("binary").alias("body")).withColumn(key, F.pmod(F.xxhash64("local_path"), F.lit(shards)).cast("int"))
+    rows = files.select("local_path", F.col("body").cast("binary").alias("body"))
+    total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+
+    def run(batches):
+        task, k, size, names = TaskContext.get().partitionId(), 0, 0, 0
+        out = held = None
 
-    def run(frame):
-        out = io.BytesIO()
-        frame = frame.sort_values("local_path")
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as held:
-            for name, body in zip(frame["local_path"], frame["body"], strict=True):
-                held.writestr(zipfile.ZipInfo(name), bytes(body or b""), zipfile.ZIP_DEFLATED)
-        return frame.iloc[:1][[key]].assign(archive=out.getvalue(), files=len(frame))
+        def closed():
+            held.close()
+            return pa.RecordBatch.from_pydict({"shard": [task << 32 | k], "archive": pa.array([out.getvalue()], pa.binary()), "files": [names]})
+
+        for batch in batches:
+            for name, body in zip(batch.column("local_path").to_pylist(), batch.column("body"), strict=True):
+                if held is None:
+                    out, size, names = io.BytesIO(), 0, 0
+                    held = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                data = body.as_py() or b""
+                held.writestr(zipfile.ZipInfo(name), data, zipfile.ZIP_DEFLATED)
+                size, names = size + len(data), names + 1
+                if size >= most:
+                    yield closed()
+                    held, k = None, k + 1
+        if held is not None:
+            yield closed()
+
+    dealt = rows.repartition(total // most + 1, "local_path").sortWithinPartitions("local_path")
+    return dealt.mapInArrow(run, "shard long, archive binary, files long")
+
+
+def archived_files(archives: DataFrame) -> DataFrame:
+    """local_path and body of every file of the archives."""
+    def run(batches):
+        for batch in batches:
+            for held in batch.column("archive"):
+                with zipfile.ZipFile(io.BytesIO(held.as_py())) as told:
+                    for name in told.namelist():
+                        yield pa.RecordBatch.from_pydict({"local_path": [name], "body": pa.array([told.read(name)], pa.binary())})
 
-    return rows.groupBy(key).applyInPandas(run, f"{key} int, archive binary, files long")
+    return archives.select("archive").mapInArrow(run, "local_path string, body binary")
