@@ -63,6 +63,13 @@ def test_no_python_in_the_plan(documents):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_texts_are_shuffled_by_salt_once(documents):
+    found = exact_dedup(documents)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 1 and plan.count("FileScan") == 1
+
+
 def test_ids_of_a_large_group_stay_with_their_salts(spark):
     names = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {k: spark.conf.get(k) for k in names}

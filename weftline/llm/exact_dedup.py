@@ -30,8 +30,9 @@ def _salted(rows: DataFrame, digest=None, salts: int | None = None) -> DataFrame
     """doc_id, the normalised text, its digest and a salt of every row (doc_id, text)."""
     salts = salts or max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.select("doc_id", normalise(F.col("text")).alias("text"))
-    rows = rows.withColumn("digest", (digest or (lambda c: F.sha2(c, 256)))(F.col("text")))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    # Never null, so that a join on them adds no filter and what reads the groups twice shuffles the texts once.
+    rows = rows.withColumn("digest", F.coalesce((digest or (lambda c: F.sha2(c, 256)))(F.col("text")), F.lit("")))
+    return rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(salts)), F.lit(0)))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=None, salts: int | None = None) -> DataFrame:
@@ -48,7 +49,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     name = [F.col("digest"), F.col("salt"), F.col("best").isNull().alias("no_best"), F.coalesce(F.col("best").cast("string"), F.lit("")).alias("best_id"), F.xxhash64("text").alias("mark")]
     keys = ["digest", "salt", "no_best", "best_id", "mark"]
     whole = Window.partitionBy("digest", "text")
-    winners = groups.withColumn("n", F.size("ids")).select("digest", "salt", "text", "best", "n").select(
+    # The ids come first, as in the groups: both sides then have the same aggregation, and its shuffle is made once.
+    winners = groups.select(F.size("ids").alias("n"), "best", "digest", "salt", "text").select(
         *name, F.max("best").over(whole).alias("keep_id"), F.sum("n").over(whole).alias("group_size"))
     won = groups.select(*name, "ids").join(winners, keys)
     # Of rows that repeat the kept id the first in their list stays; equal ids share a salt, hence a list.
