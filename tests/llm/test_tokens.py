@@ -86,8 +86,43 @@ def test_chunks_do_not_matter(texts):
 def test_word_machine_bounds(texts, monkeypatch):
     monkeypatch.setattr(counts.WordMachine, "most_states", 500)
     monkeypatch.setattr(counts, "_machines", {})
-    test_transducer_counts(texts)
-    assert len(counts._machines["word_bpe_49k.json"].emits) <= 500
+    rng = random.Random(3)
+    long = ["".join(rng.choices("aeinorst日é", k=5000)) for _ in range(3)]
+    test_transducer_counts(texts + long)
+    machine = counts._machines["word_bpe_49k.json"]
+    test_transducer_counts(long)  # one word after another, each beyond the bound by one state at most
+    assert len(machine.states) <= 501 + len(long)
+
+
+def test_joints_are_those_that_merging_leaves():
+    merges = bpe.load_merges("word_bpe_49k.json")
+    joints = counts.Joints(merges)
+    rng = random.Random(5)
+    inner = [t for t in range(merges.size) if t in joints.left_over and not WORD.id_to_token(t).endswith("</w>")]
+    last = [t for t in range(merges.size) if t in joints.left_over and WORD.id_to_token(t).endswith("</w>")]
+    common = rng.choices(inner[:2000], k=4000) + rng.choices(inner, k=2000)
+    pairs = [(a, b) for a, b in zip(common, rng.choices(last[:2000], k=3000) + rng.choices(last, k=3000), strict=True)]
+    back = {c: b for b, c in enumerate(bpe.byte_letters())}
+    words = [bytes(back[c] for c in (WORD.id_to_token(a) + WORD.id_to_token(b)).removesuffix("</w>")) for a, b in pairs]
+    ids, lengths = bpe.merge_words(merges, words)
+    merged = split(ids, np.cumsum(lengths))
+    apart = [joints.first_across(a, b) is None for a, b in pairs]
+    assert apart == [m == [a, b] for m, (a, b) in zip(merged, pairs, strict=True)] and len(set(apart)) == 2
+
+
+def test_word_machine_needs_word_ends():
+    with pytest.raises(ValueError):
+        counts.WordMachine("byte_bpe_50k.json")
+
+
+def test_places_emit_what_is_final():
+    machine = counts.WordMachine("word_bpe_49k.json")
+    words = ["the", "thethethe", "qzxj", "naïveté", "日本語", "=" * 70]
+    got = machine.count(pa.array([w.encode() for w in words], pa.large_binary()))
+    assert got.tolist() == [len(WORD.encode(w, add_special_tokens=False).ids) for w in words]
+    assert (machine.emits >= 0).all()
+    ended = machine.keys % 512 >= 256
+    assert (machine.targets[ended] == 0).all() and (machine.emits[ended] > 0).all()
 
 
 def test_units_are_bounded():
