@@ -176,6 +176,67 @@ def test_sequences_are_views(tmp_path):
     assert pa.ipc.open_stream(str(tmp_path / "x.arrows")).schema.field("ids").type.list_size == 64
 
 
+def test_one_sequence_reads_one_batch(tmp_path):
+    """Through a file that only counts and passes on, as a remote one; and from a mapped file without allocation."""
+    with open(tmp_path / "x.arrows", "wb") as sink:
+        writer = A.SequenceWriter(sink, 64, pa.uint16(), 10)
+        writer.write(np.arange(64 * 10 * 500 + 7, dtype=np.uint32).astype(np.uint16))
+        writer.close()
+
+    class Counting:
+        def __init__(self):
+            self.file, self.bytes, self.closed = open(tmp_path / "x.arrows", "rb"), 0, False
+
+        def read(self, n=-1):
+            got = self.file.read(n)
+            self.bytes += len(got)
+            return got
+
+        def __getattr__(self, name):
+            return getattr(self.file, name)
+
+    counting = Counting()
+    file = A.SequenceFile(pa.PythonFile(counting, mode="r"))
+    opened = counting.bytes
+    assert file.batches == 501 and opened < 2 * file.stride
+    ids, mask = file.sequence(4321)
+    assert (ids == np.arange(4321 * 64, 4322 * 64).astype(np.uint16)).all() and all(mask.to_pylist())
+    assert counting.bytes - opened <= file.stride
+    assert file.span(64 * 10 * 500 - 3, 10).tolist() == [x % 65536 for x in range(64 * 10 * 500 - 3, 64 * 10 * 500 + 7)]
+    with pytest.raises(IndexError):
+        file.sequence(5010)
+    mapped = A.SequenceFile(f"file://{tmp_path}/x.arrows")
+    before = pa.total_allocated_bytes()
+    held = [mapped.sequence(k)[0] for k in range(0, 5000, 7)]
+    assert pa.total_allocated_bytes() - before < 1 << 16 and held[3][0] == 21 * 64
+
+
+def test_empty_sequence_file(tmp_path):
+    with open(tmp_path / "x.arrows", "wb") as sink:
+        A.SequenceWriter(sink, 64, pa.uint16(), 10).close()
+    file = A.SequenceFile(f"file://{tmp_path}/x.arrows")
+    assert file.batches == 0 and len(file.span(0, 0)) == 0
+
+
+def test_files_are_bounded_and_failed_attempts_swept(spark, documents, tmp_path):
+    folder = f"file://{tmp_path}/out"
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "part-000000-000000-999999.arrows").write_bytes(b"what a lost attempt left")
+    doubled = documents.select("doc_id", "text").unionByName(documents.select("doc_id", "text"))
+    files = A.write_files(doubled, folder, partitions=2, most=1_000, unit=2_000)
+    whole = A.write_files(doubled, f"file://{tmp_path}/other", partitions=1)
+    assert sum(f["documents"] for f in files) == doubled.count() and len(files) > 5 and len(whole) == 1
+    longest = max(len(t.encode()) for (t,) in documents.select("text").collect() if t)
+    assert all(f["ids"] < 1_000 + 2_000 + longest for f in files)
+    names = {f[k].rpartition("/")[2] for f in files for k in ("data", "index")}
+    assert {p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("part-")} == names
+    read = A.read_files(spark, files).collect()
+    again = A.read_files(spark, A.write_files(doubled, f"file://{tmp_path}/third", partitions=5)).collect()
+    assert sorted(read) == sorted(again) and len(read) == doubled.count()
+    last = max(read, key=lambda r: r.start)
+    assert last.start + last.n_tokens == sum(f["ids"] for f in files)
+
+
 def test_many_special_strings_take_linear_time():
     import time
 
