@@ -231,3 +231,34 @@ def test_crowds_and_frequent_shingles(spark, monkeypatch):
         monkeypatch.setattr(S, "similar_links", lambda d, s, w: links(d, s, w, sample=sample, shard=shard))
         df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         assert {r.doc_id: r.component_id for r in S.similar_documents(df).collect()} == exact_components(texts)
+
+
+def test_a_crowd_costs_its_size(spark):
+    """Rows of one group never meet each other: candidates are those of all pairs across groups, whatever the blocks."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for token in range(3):
+        for fp in range(120):
+            label = fp if fp % 10 == token else 1_000  # a dozen texts of their own, the others one group
+            rows.append((token, fp, 10 + int(rng.integers(3)), int(rng.integers(2)), label, *[0] * S.PARITIES))
+    sizes = {fp: size for _, fp, size, *_ in rows[:120]}
+    rows = [(t, fp, sizes[fp], *rest) for t, fp, _, *rest in rows]
+    kinds = "token long, fp long, size long, place int, label long, " + ", ".join(f"{m} long" for m in S._PARITY)
+    shared = spark.createDataFrame(rows, kinds)
+    mains = S.main_groups(shared)
+    assert sorted(mains.collect()) == [(t, 1_000, 12) for t in range(3)]
+    want = {}
+    for i, x in enumerate(rows):
+        for y in rows[:i]:
+            if x[0] == y[0] and x[4] != y[4] and min(x[2], y[2]) >= 0.8 * max(x[2], y[2]):
+                pair = min(x[1], y[1]), max(x[1], y[1])
+                n, rest = want.get(pair, (0, 0))
+                want[pair] = n + 1, max(rest, min(x[2] - x[3], y[2] - y[3]))
+    least = lambda a, b: (sizes[a] + sizes[b]) * 0.8 / 1.8 - 1e-6
+    kept = {(a, b) for (a, b), (n, rest) in want.items() if rest >= least(a, b) and n + np.ceil(max(sizes[a], sizes[b]) * 0.8) - 1 >= least(a, b)}
+    assert kept
+    for shard in (1, 5, 1_000):
+        got = S.candidates(shared.join(mains, "token"), 0.8, shard)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(kept)
+    plan = got._jdf.queryExecution().optimizedPlan().toString() + S._crowded(S._crowds(shared.withColumn("n", S.F.lit(120))), 0.8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan

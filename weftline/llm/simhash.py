@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, materialise, prepare
@@ -47,8 +47,6 @@ _BLOCK = 1 << 20
 SIMILAR_WORDS, SIMILARITY, SIMILAR_SHARD = 5, 0.8, 4_096
 #: Frequent shingles of a sample of texts, which come last in the order of shingles. The order changes the work only.
 FREQUENT, FREQUENT_SAMPLE = 1 << 18, 16_384
-#: Rows that a task sorts at once while it looks for shingles that texts share.
-SORTED = 250_000
 #: From so many texts with a shingle on, they are compared with a few of them first: a text with so many at most.
 CROWD, ASKED = 8, 3
 #: Words of 64 bits that tell by parity which shingles a set has.
@@ -445,20 +443,26 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, words: int, s
     return out
 
 
-def _crowded(shared: DataFrame, similarity: float) -> DataFrame:
+def _crowds(shared: DataFrame) -> DataFrame:
+    """token, fp, size and weight of the rows of frequent shingles; the weight tells how frequent a text's are."""
+    crowds = shared.where(F.col("n") >= CROWD).select("token", "fp", "size", "n")
+    return crowds.join(crowds.groupBy("fp").agg((F.sum("n") / F.max("size")).alias("weight")), "fp")
+
+
+def _crowded(crowds: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of texts with a few of those that have many shingles in common with them.
 
     Centres of a shingle are the text whose shingles are the most frequent for its size, which is most like the others
     of a group of copies, and one at random.
     """
     step = float(-np.log(similarity))
-    crowds = shared.where(F.col("n") >= CROWD).select("token", "fp", "size", "n")
-    crowds = crowds.join(crowds.groupBy("fp").agg((F.sum("n") / F.max("size")).alias("weight")), "fp")
     out = None
     for shift in (0.0, 0.5):
-        by = Window.partitionBy("token", F.floor(F.log("size") / step + shift))
-        centres = [F.max(F.struct(of.alias("h"), "fp")).over(by)["fp"] for of in (F.col("weight"), F.xxhash64("fp"))]
-        some = crowds.withColumn("centres", F.array(*centres)).select("fp", "size", F.explode(F.array_distinct("centres")).alias("centre"))
+        # Extremes combine before they meet, and the join with them can be split, so a hot shingle fills no task.
+        rows = crowds.withColumn("class", F.floor(F.log("size") / step + shift))
+        centres = [F.max(F.struct(of.alias("h"), "fp"))["fp"] for of in (F.col("weight"), F.xxhash64("fp"))]
+        found = rows.groupBy("token", "class").agg(F.array_distinct(F.array(*centres)).alias("centres"))
+        some = rows.join(found, ["token", "class"]).select("fp", "size", F.explode("centres").alias("centre"))
         out = some if out is None else out.unionByName(some)
     out = out.where("fp <> centre").groupBy("fp", "size", "centre").count()
     out = out.where(F.col("count") * 2 >= F.col("size") * (1 - similarity))  # both shifts count, so a quarter to half of the prefix
@@ -477,7 +481,9 @@ def _proposed(points: DataFrame, shared: DataFrame, similarity: float, **options
     equal = points.select("sim", "fp").join(alike, "sim").where("fp <> rep").select(F.col("rep").alias("a"), F.col("fp").alias("b"))
     trees = links(alike.select("rep", F.col("sim").alias("fp")), **options)
     linked = trees.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b"))
-    pairs = materialise(equal.unionByName(linked).unionByName(_crowded(shared, similarity)).distinct())
+    crowds = materialise(_crowds(shared))
+    pairs = materialise(equal.unionByName(linked).unionByName(_crowded(crowds, similarity)).distinct())
+    discard(crowds)
     discard(alike)
     discard(trees)
     for x in "ab":
@@ -488,24 +494,38 @@ def _proposed(points: DataFrame, shared: DataFrame, similarity: float, **options
 def candidates(shared: DataFrame, similarity: float, shard: int) -> DataFrame:
     """Pairs (a, b) of texts in different groups (label) that may be similar: every pair that is one is among them.
 
+    shared has for each shingle (token) its greatest group (main) and the number of rows outside it (others). Two texts
+    of the greatest group need no comparison, so the rows outside it meet all rows: a group of copies, however large,
+    costs its size and not its square. They are dealt out in blocks, each of which meets all rows.
+
     Texts meet at a shingle that is in both prefixes, if their sizes and parities allow it. Before the first one that
     they share, at places p and q, they have nothing in common, so they share no more than the lesser rest. Of all
     common shingles those that are in one's prefix but not in the other's come after the latter, so beyond the common
-    ones in the prefixes no more are left than follow a prefix. Rows of a frequent shingle are dealt out in blocks, each
-    of which meets all rows.
+    ones in the prefixes no more are left than follow a prefix.
     """
-    blocks = F.ceil(F.col("n") / shard).cast("long")
+    blocks = F.ceil(F.col("others") / shard).cast("long")
     told = ("fp", "size", "place", "label", *_PARITY)
-    x = shared.select("token", F.pmod(F.xxhash64("fp"), blocks).alias("block"), *(F.col(c).alias(f"x_{c}") for c in told))
-    y = shared.select("token", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), *(F.col(c).alias(f"y_{c}") for c in told))
-    met = (F.col("x_label") != F.col("y_label")) & F.expr("x_size < y_size OR x_size = y_size AND x_fp < y_fp")
-    met &= (F.col("x_size") >= F.col("y_size") * similarity - 1e-6) & _may_be_similar("x_", "y_", similarity)
-    least = (F.col("x_size") + F.col("y_size")) * (similarity / (1 + similarity)) - 1e-6
+    x = shared.where("label <> main").select("token", F.pmod(F.xxhash64("fp"), blocks).alias("block"), *(F.col(c).alias(f"x_{c}") for c in told))
+    y = shared.where("others > 0").select(
+        "token", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), (F.col("label") == F.col("main")).alias("y_main"),
+        *(F.col(c).alias(f"y_{c}") for c in told))
+    # Of two rows outside the greatest group each meets the other; one of the meetings counts.
+    met = (F.col("x_label") != F.col("y_label")) & F.expr("y_main OR x_fp < y_fp")
+    less, more = F.least("x_size", "y_size"), F.greatest("x_size", "y_size")
+    met &= (less >= more * similarity - 1e-6) & _may_be_similar("x_", "y_", similarity)
     rest = F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place"))
-    found = x.join(y, ["token", "block"]).where(met).select("x_fp", "y_fp", "x_size", "y_size", rest.alias("rest"))
-    found = found.groupBy("x_fp", "y_fp", "x_size", "y_size").agg(F.count(F.lit(1)).alias("count"), F.max("rest").alias("rest"))
-    found = found.where((F.col("rest") >= least) & (F.col("count") + F.ceil(F.col("y_size") * similarity - 1e-9) - 1 >= least))
-    return found.select(F.col("x_fp").alias("a"), F.col("y_fp").alias("b"))
+    found = x.join(y, ["token", "block"]).where(met).select(
+        F.least("x_fp", "y_fp").alias("a"), F.greatest("x_fp", "y_fp").alias("b"), (less + more).alias("both"), more.alias("more"), rest.alias("rest"))
+    found = found.groupBy("a", "b", "both", "more").agg(F.count(F.lit(1)).alias("count"), F.max("rest").alias("rest"))
+    least = F.col("both") * (similarity / (1 + similarity)) - 1e-6
+    found = found.where((F.col("rest") >= least) & (F.col("count") + F.ceil(F.col("more") * similarity - 1e-9) - 1 >= least))
+    return found.select("a", "b")
+
+
+def main_groups(shared: DataFrame) -> DataFrame:
+    """token, main (the group, by label, that has the most rows of it) and others (its rows outside that group)."""
+    by = shared.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
+    return by.groupBy("token").agg(F.max(F.struct("m", "label"))["label"].alias("main"), (F.sum("m") - F.max("m")).alias("others"))
 
 
 def similar_links(docs: DataFrame, similarity: float, words: int, sample: int = FREQUENT_SAMPLE, shard: int = SIMILAR_SHARD, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -531,10 +551,11 @@ def similar_links(docs: DataFrame, similarity: float, words: int, sample: int =
                 columns = [pa.array(np.concatenate(found[k : k + 100])), *taken.columns, pa.array(place.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=["token", "fp", "size", "place"])
 
-    n = points.agg(F.sum(F.length("prefix"))).first()[0] or 0
-    each = points.select("fp", "size", "prefix").mapInArrow(tokens, "token long, fp long, size long, place int").repartition(n // 8 // SORTED + 1, "token")
-    token = Window.partitionBy("token")
-    shared = materialise(each.withColumn("n", F.count(F.lit(1)).over(token)).where("n > 1"))
+    # Rows of a shingle are counted before they meet, and joined from tables, so that one with a third of them is split.
+    each = materialise(points.select("fp", "size", "prefix").mapInArrow(tokens, "token long, fp long, size long, place int"))
+    times = each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialise(each.join(times, "token"))
+    discard(each)
     near = materialise(_proposed(points, shared, similarity, **options))
     first = verified(near, points, docs, words, similarity)
     discard(near)
@@ -542,9 +563,11 @@ def similar_links(docs: DataFrame, similarity: float, words: int, sample: int =
     told = materialise(points.select("fp", *_PARITY).join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
     discard(labels)
     # Shingles of one component only are left out before the parities join.
-    apart = shared.join(told.select("fp", "label"), "fp").withColumn("apart", F.min("label").over(token) != F.max("label").over(token))
-    named = materialise(apart.where("apart").drop("apart", "label").join(told, "fp"))
+    placed = materialise(shared.join(told.select("fp", "label"), "fp"))
     discard(shared)
+    apart = placed.join(main_groups(placed).where("others > 0"), "token")
+    named = materialise(apart.drop("label").join(told, "fp"))
+    discard(placed)
     discard(told)
     rest = materialise(candidates(named, similarity, shard))
     discard(named)
