@@ -228,6 +228,7 @@ def test_crowds_and_frequent_shingles(spark, monkeypatch):
     texts += [edited(rng, base, s) for s in (0.01, 0.02, 0.03, 0.05) for _ in range(25)]
     links = S.similar_links
     for sample, shard in ((64, 4), (S.FREQUENT_SAMPLE, S.SIMILAR_SHARD)):
+        monkeypatch.setattr(S, "CROWD_ROWS", shard)
         monkeypatch.setattr(S, "similar_links", lambda d, s, w: links(d, s, w, sample=sample, shard=shard))
         df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         assert {r.doc_id: r.component_id for r in S.similar_documents(df).collect()} == exact_components(texts)

@@ -49,6 +49,8 @@ SIMILAR_WORDS, SIMILARITY, SIMILAR_SHARD = 5, 0.8, 4_096
 FREQUENT, FREQUENT_SAMPLE = 1 << 18, 16_384
 #: From so many texts with a shingle on, they are compared with a few of them first: a text with so many at most.
 CROWD, ASKED = 8, 3
+#: Rows of one shingle that a block of its crowd has.
+CROWD_ROWS = 512
 #: Words of 64 bits that tell by parity which shingles a set has.
 PARITIES = 8
 _SLICE = 1 << 15
@@ -458,11 +460,13 @@ def _crowded(crowds: DataFrame, similarity: float) -> DataFrame:
     step = float(-np.log(similarity))
     out = None
     for shift in (0.0, 0.5):
-        # Extremes combine before they meet, and the join with them can be split, so a hot shingle fills no task.
-        rows = crowds.withColumn("class", F.floor(F.log("size") / step + shift))
+        # Extremes combine before they meet, and rows join them in blocks, so a hot shingle fills no task.
+        blocks = F.ceil(F.col("n") / CROWD_ROWS).cast("long")
+        rows = crowds.withColumn("class", F.floor(F.log("size") / step + shift)).withColumn("block", F.pmod(F.xxhash64("fp"), blocks))
         centres = [F.max(F.struct(of.alias("h"), "fp"))["fp"] for of in (F.col("weight"), F.xxhash64("fp"))]
-        found = rows.groupBy("token", "class").agg(F.array_distinct(F.array(*centres)).alias("centres"))
-        some = rows.join(found, ["token", "class"]).select("fp", "size", F.explode("centres").alias("centre"))
+        found = rows.groupBy("token", "class").agg(F.array_distinct(F.array(*centres)).alias("centres"), F.max("n").alias("n"))
+        found = found.select("token", "class", "centres", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+        some = rows.join(found, ["token", "class", "block"]).select("fp", "size", F.explode("centres").alias("centre"))
         out = some if out is None else out.unionByName(some)
     out = out.where("fp <> centre").groupBy("fp", "size", "centre").count()
     out = out.where(F.col("count") * 2 >= F.col("size") * (1 - similarity))  # both shifts count, so a quarter to half of the prefix
