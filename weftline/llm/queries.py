@@ -80,11 +80,23 @@ def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_dominance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dominance import dominance, sale_points
+
+    return dominance(sale_points(read_table(spark, sf_dir, "sales"))).select(
+        "sale_id", "slot", "level", F.col("n_above").alias("n_sales"), F.col("w_above").alias("n_rows"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_secret_scan, op3_best_fit_packing, op4_simhash_near_dedup, op5_ogg_media, op6_quality_classifier, op7_chat_format,
-    op8_bpe_encode_decode, op9_token_counts, op10_arrow_token_files)}
+    op8_bpe_encode_decode, op9_token_counts, op10_arrow_token_files, op11_dominance_counts)}
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# The checksum of an id's decimal digits, a bit at a time.
+_CRC32 = """xor(list_reduce(
+    list_transform(string_split(coalesce(sale_id::VARCHAR, ''), ''), lambda c: CASE WHEN c = '' THEN NULL ELSE ascii(c)::BIGINT END),
+    lambda x, b: CASE WHEN b IS NULL THEN x ELSE list_reduce(range(8), lambda y, k: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END, xor(x, b)) END,
+    4294967295::BIGINT), 4294967295::BIGINT)"""
 _ESCAPED = r"replace(replace(x, '\', '\b'), '<', '\l')"
 
 ORACLE_SQL = {
@@ -107,4 +119,12 @@ ORACLE_SQL = {
             sum(length({_ESCAPED.replace("x", "text")}) + CASE WHEN begins THEN 6 + length(replace({_ESCAPED.replace("x", "role")}, '>', '\\g')) + 1 + 8 ELSE 6 END)::BIGINT AS formatted_chars
         FROM r GROUP BY conv_id
     """,
+    "op11_dominance_counts": f"""
+        WITH s AS (
+            SELECT row_number() OVER () AS k, sale_id, floor(floor(epoch(sold_at)) / 60)::BIGINT AS slot, floor(floor(100 * total + 0.5) / 1)::BIGINT AS level, 1 + {_CRC32} % 5 AS weight
+            FROM sales),
+        above AS (SELECT q.k, count(*) AS n, sum(p.weight) AS w FROM s q JOIN s p ON p.slot < q.slot AND p.level > q.level GROUP BY q.k)
+        SELECT sale_id, slot, level, CASE WHEN slot + level IS NOT NULL THEN coalesce(n, 0) END AS n_sales, CASE WHEN slot + level IS NOT NULL THEN coalesce(w, 0) END::BIGINT AS n_rows
+        FROM s LEFT JOIN above USING (k)
+    """,
 }
