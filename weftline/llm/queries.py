@@ -87,9 +87,16 @@ def op11_dominance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sale_id", "slot", "level", F.col("n_above").alias("n_sales"), F.col("w_above").alias("n_rows"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranking import search
+
+    return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_secret_scan, op3_best_fit_packing, op4_simhash_near_dedup, op5_ogg_media, op6_quality_classifier, op7_chat_format,
-    op8_bpe_encode_decode, op9_token_counts, op10_arrow_token_files, op11_dominance_counts)}
+    op8_bpe_encode_decode, op9_token_counts, op10_arrow_token_files, op11_dominance_counts,
+    op12_ranked_search)}
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 # The checksum of an id's decimal digits, a bit at a time.
@@ -97,6 +104,7 @@ _CRC32 = """xor(list_reduce(
     list_transform(string_split(coalesce(sale_id::VARCHAR, ''), ''), lambda c: CASE WHEN c = '' THEN NULL ELSE ascii(c)::BIGINT END),
     lambda x, b: CASE WHEN b IS NULL THEN x ELSE list_reduce(range(8), lambda y, k: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END, xor(x, b)) END,
     4294967295::BIGINT), 4294967295::BIGINT)"""
+_TERMS = f"regexp_extract_all({_NORMAL}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
 _ESCAPED = r"replace(replace(x, '\', '\b'), '<', '\l')"
 
 ORACLE_SQL = {
@@ -127,4 +135,17 @@ ORACLE_SQL = {
         SELECT sale_id, slot, level, CASE WHEN slot + level IS NOT NULL THEN coalesce(n, 0) END AS n_sales, CASE WHEN slot + level IS NOT NULL THEN coalesce(w, 0) END::BIGINT AS n_rows
         FROM s LEFT JOIN above USING (k)
     """,
+    "op12_ranked_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS t FROM documents),
+        n AS (SELECT k, doc_id, len(t) AS n FROM d WHERE len(t) > 0),
+        whole AS (SELECT count(*) AS total, sum(n)::BIGINT AS length FROM n),
+        i AS (SELECT item_id, term, count(*) AS repeats FROM (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+        f AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2 * total + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY term), whole),
+        s AS (
+            SELECT item_id, doc_id, k, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * total) // length)))))::BIGINT AS score
+            FROM i JOIN w USING (term) JOIN f USING (term) JOIN n USING (k), whole GROUP BY ALL)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+    """,
 }
