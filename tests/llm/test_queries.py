@@ -19,5 +19,5 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 def test_a_query_for_each_operator_is_registered():
     import __spark_entry__ as entry
 
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(entry.queries())

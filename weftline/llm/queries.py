@@ -93,10 +93,16 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .weak_rules import judge
+
+    return judge(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_secret_scan, op3_best_fit_packing, op4_simhash_near_dedup, op5_ogg_media, op6_quality_classifier, op7_chat_format,
     op8_bpe_encode_decode, op9_token_counts, op10_arrow_token_files, op11_dominance_counts,
-    op12_ranked_search)}
+    op12_ranked_search, op13_quality_rules)}
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 # The checksum of an id's decimal digits, a bit at a time.
