@@ -4,7 +4,7 @@ import pytest
 
 from weftline.plans.queries import ORACLE_SQL, QUERIES
 
-from .helpers import connect, same
+from .helpers import connect, plain_crawl, same
 
 
 @pytest.fixture(scope="module")
@@ -25,55 +25,21 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_crawl_replay_equals_a_plain_loop(spark, sf_dir):
+def replayed(spark, sf_dir):
+    """What a plain queue makes of the graph's recorded responses."""
+    from weftline.config import CrawlConfig
     from weftline.plans import derived
 
-    nodes = {r.page_id for r in derived.ids(spark, sf_dir).collect()}
-    n = len(nodes)
-    replies = {r.url: r for r in derived.responses(spark, sf_dir).collect()}
-    at = lambda i: f"https://graph.example/{i}"
-    visited, failed, level = {at(0): None}, {}, [at(0)]
-    visited = {}
-    for depth in range(7):
-        found = []
-        for url in level:
-            reply = replies.get(url)
-            if reply is None or reply.status >= 400:
-                failed[url] = depth
-                continue
-            for x in dict.fromkeys([url, reply.final_url]):
-                visited.setdefault(x, depth)
-            if "text/html" in reply.content_type:
-                i = int(reply.final_url.rpartition("/")[2])
-                found += [at(j) for j in ((2 * i + 1) % n, (2 * i + 2) % n, (7 * i + 3) % n)]
-        level = [u for u in dict.fromkeys(found) if u not in visited and u not in failed]
-    want = sorted([(u, d, "visited") for u, d in visited.items()] + [(u, d, "failed") for u, d in failed.items()])
-    got = sorted((r.url, r.depth, r.action) for r in QUERIES["g1_crawl_replay"](spark, sf_dir).collect())
-    assert got == want
-
+    replies = {r.url: (r.final_url, r.status, r.content_type) for r in derived.responses(spark, sf_dir).collect()}
+    links = {}
+    for r in derived.graph(spark, sf_dir)[1].orderBy("src_url", "ordinal").collect():
+        links.setdefault(r.src_url, []).append(r.url)
+    visited, failed = plain_crawl(["https://graph.example/0"], replies, links, CrawlConfig(start_url="x").max_depth)
+    return sorted([(u, d, "visited") for u, (d, _) in visited.items()] + [(u, d, "failed") for u, d in failed.items()])
 
-def test_crawl_replay_goes_to_the_default_depth(spark):
-    from weftline.config import CrawlConfig
-    from weftline.plans import derived
 
-    sf_dir = "/root/testdata/sf0.01"
-    n = derived.ids(spark, sf_dir).count()
-    replies = {r.url: r for r in derived.responses(spark, sf_dir).collect()}
-    at = lambda i: f"https://graph.example/{i}"
-    visited, failed, level = {}, {}, [at(0)]
-    for depth in range(CrawlConfig(start_url=at(0)).max_depth + 1):
-        found = []
-        for url in level:
-            reply = replies.get(url)
-            if reply is None or reply.status >= 400:
-                failed[url] = depth
-                continue
-            for x in dict.fromkeys([url, reply.final_url]):
-                visited.setdefault(x, depth)
-            if "text/html" in reply.content_type:
-                i = int(reply.final_url.rpartition("/")[2])
-                found += [at(j) for j in ((2 * i + 1) % n, (2 * i + 2) % n, (7 * i + 3) % n)]
-        level = [u for u in dict.fromkeys(found) if u not in visited and u not in failed]
-    assert max(visited.values()) > 6
-    want = sorted([(u, d, "visited") for u, d in visited.items()] + [(u, d, "failed") for u, d in failed.items()])
-    assert sorted((r.url, r.depth, r.action) for r in QUERIES["g1_crawl_replay"](spark, sf_dir).collect()) == want
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_crawl_replay_equals_a_plain_queue(spark, folder):
+    want = replayed(spark, folder)
+    assert len(want) > 40 and max(d for _, d, _ in want) > 4
+    assert sorted((r.url, r.depth, r.action) for r in QUERIES["g1_crawl_replay"](spark, folder).collect()) == want

@@ -464,7 +464,7 @@ def frontier(spark, sf_dir):
     visited = crawl.crawl(crawl.seed(spark, ["https://graph.example/0"]), links, max_depth=3).visited
     failed = nodes.where(F.regexp_extract("url", r"(\d+)$", 1).cast("long") % 5 == 0)
     found = links.join(visited.select(F.col("url").alias("src_url"), "depth", "seq"), "src_url")
-    found = found.select("url", "depth", F.concat("seq", F.array(F.col("ordinal").cast("long"))).alias("seq"))
+    found = found.select("url", "depth", F.array("seq", F.col("ordinal").cast("long")).alias("seq"))
     return admission.new_urls(found, visited, failed).select("url")
 
 
@@ -529,7 +529,7 @@ def content_gate(spark, sf_dir):
 
 @query("g8_a8_retry_failed", f"SELECT url, 0::BIGINT AS depth FROM {D.RESPONSES_SQL} WHERE status >= 400")
 def retry_failed(spark, sf_dir):
-    failed = D.responses(spark, sf_dir).where("status >= 400").select("url", F.lit(3).alias("depth"), F.array(F.lit(0).cast("long")).alias("seq"))
+    failed = D.responses(spark, sf_dir).where("status >= 400").select("url", F.lit(3).alias("depth"), F.lit(0).cast("long").alias("seq"))
     return crawl.retry_failed(failed).select("url", F.col("depth").cast("long").alias("depth"))
 
 
@@ -695,8 +695,8 @@ def _saved_project(spark, sf_dir) -> project.Project:
     config = CrawlConfig.from_dict({"start_url": "https://site0.example/", "project_name": "a/b", "max_depth": 7, "asset_filter": "odd", "later_setting": 1})
     made = project.Project.create(spark, root, config)
     log = D.crawl_log(spark, sf_dir)
-    failed = state.latest_errors(log).select("url", F.lit(2).alias("depth"), F.array(F.lit(1).cast("long")).alias("seq"), "error")
-    frontier = D.ids(spark, sf_dir).select(D.filled("{h}/{n}").alias("url"), F.lit(1).alias("depth"), F.array("page_id").alias("seq"))
+    failed = state.latest_errors(log).select("url", F.lit(2).alias("depth"), F.lit(1).cast("long").alias("seq"), "error")
+    frontier = D.ids(spark, sf_dir).select(D.filled("{h}/{n}").alias("url"), F.lit(1).alias("depth"), F.col("page_id").alias("seq"))
     made.save(failed=failed, blobs=blobs(spark, sf_dir).withColumn("canonical", F.col("canonical").cast("string")), frontier=frontier)
     made.append_log(log)
     return project.Project.load(spark, root)

@@ -73,11 +73,12 @@ def archive_site(spark: SparkSession, responses: DataFrame, config: CrawlConfig,
     pages = materialise(fetched.select("url", "final_url", "text"))
     parsed = materialise(_parsed(pages))
     links = materialise(_admissible_links(parsed, start, config))
-    replies = allowed.select("url", F.col("url").alias("final_url"), "status", "content_type")
-    first = spark.createDataFrame([(config.start_url,)], "raw string").select(U.normalise(F.col("raw")).alias("url"), F.lit(0).alias("depth"), F.array(F.lit(0).cast("long")).alias("seq"))
-    found = crawl.crawl(first, links, replies, config.max_depth)
+    final = U.normalise(F.col("final_url"))
+    replies = allowed.select("url", F.when(final != "", final).otherwise(F.col("url")).alias("final_url"), "status", "content_type")
+    first = spark.createDataFrame([(config.start_url,)], "raw string").select(U.normalise(F.col("raw")).alias("url"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("seq"))
+    found = crawl.crawl(first, links, replies, config.max_depth, links_of="url")
 
-    saved = pages.join(found.visited, "url").select("url", "final_url", "text", "seq", P.save_path(F.col("url"), start).alias("local_path"))
+    saved = pages.join(found.visited.where("source = url"), "url").select("url", "final_url", "text", "seq", P.save_path(F.col("url"), start).alias("local_path"))
     saved = materialise(saved)
     aliases = saved.select(U.normalise(F.col("final_url")).alias("url"), "local_path", "seq").where("url <> ''")
     page_map = saved.select("url", "local_path", "seq").unionByName(aliases)
@@ -95,7 +96,7 @@ def archive_site(spark: SparkSession, responses: DataFrame, config: CrawlConfig,
     assets = fetched_assets.where("ok").withColumn("local_path", P.save_path(F.col("url"), start))
 
     last = F.lit(1 << 62)
-    every = page_map.unionByName(assets.select("url", "local_path", F.array(last).alias("seq")))
+    every = page_map.unionByName(assets.select("url", "local_path", last.alias("seq")))
     url_map = materialise(every.groupBy("url").agg(F.max_by("local_path", "seq").alias("local_path")))
     blobs = assets.groupBy("sha256").agg(F.min("local_path").alias("canonical"), F.count("*").alias("copies"))
     texts = saved.groupBy("local_path").agg(F.max_by(F.struct("final_url", "text"), "seq").alias("p")).select(
@@ -109,9 +110,9 @@ def archive_site(spark: SparkSession, responses: DataFrame, config: CrawlConfig,
     others = assets.where(U.suffix(F.col("local_path")) != ".css")
     pairs = others.join(others.groupBy("sha256").agg(F.min("local_path").alias("canonical")), "sha256")
     bodies = pairs.where("local_path = canonical").dropDuplicates(["local_path"]).select("local_path", "body")
-    failed = found.failed.unionByName(fetched_assets.where("NOT ok").select("url", F.lit(None).cast("int").alias("depth"), F.array(last).alias("seq"), "error"))
+    failed = found.failed.unionByName(fetched_assets.where("NOT ok").select("url", F.lit(None).cast("int").alias("depth"), last.alias("seq"), "error"))
 
-    seen = url_map.join(found.visited.select("url", "seq"), "url", "left").select("url", "local_path", F.lit(None).cast("string").alias("error"), F.lit("visited").alias("action"), F.coalesce("seq", F.array(last)).alias("at"))
+    seen = url_map.join(found.visited.select("url", "seq"), "url", "left").select("url", "local_path", F.lit(None).cast("string").alias("error"), F.lit("visited").alias("action"), F.coalesce("seq", last).alias("at"))
     lost = failed.select("url", F.lit(None).cast("string").alias("local_path"), "error", F.lit("failed").alias("action"), F.col("seq").alias("at"))
     entry = F.xxhash64("url", "action")  # a number for each entry that does not depend on how rows lie
     log = seen.unionByName(lost).select(entry.alias("seq"), "action", "url", "local_path", "error", F.lit(float(now)).alias("timestamp"))

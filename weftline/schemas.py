@@ -1,9 +1,9 @@
 """Schemas of the tables, as DDL; files are read with them and never by inference."""
 
 RESPONSES = "url string, final_url string, status int, content_type string, body binary, headers map<string,string>"
-FRONTIER = "url string, depth int, seq array<bigint>"
+FRONTIER = "url string, depth int, seq bigint"
 VISITED = FRONTIER
-FAILED = "url string, depth int, seq array<bigint>, error string"
+FAILED = "url string, depth int, seq bigint, error string"
 URL_MAP = "url string, local_path string"
 BLOBS = "sha256 string, canonical string, copies bigint"
 LOG = "seq bigint, action string, url string, local_path string, error string, timestamp double"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import os
 import shutil
 import tempfile
@@ -72,6 +73,41 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder among the shared ones, which goes when the driver ends."""
+    path = f"{shared_folder(spark)}/weftline-{uuid.uuid4().hex}"
+    place, system = _located(spark, path)
+    system.mkdirs(place)
+    system.deleteOnExit(place)
+    return path
+
+
+def write_record(spark: SparkSession, path: str, record: dict) -> None:
+    """A small file of JSON that is there whole or not at all."""
+    place, system = _located(spark, path)
+    part, _ = _located(spark, f"{path.rpartition('/')[0]}/_{uuid.uuid4().hex}")
+    out = system.create(part)
+    out.write(bytearray(json.dumps(record).encode()))
+    out.close()
+    system.delete(place, False)
+    if not system.rename(part, place):
+        raise OSError(f"{path} could not be written")
+
+
+def read_records(spark: SparkSession, folder: str) -> dict[str, dict]:
+    """The records of a folder by file name; files that are no whole record do not count."""
+    place, system = _located(spark, folder)
+    if not system.exists(place):
+        return {}
+    found = {}
+    for r in spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").select("_metadata.file_name", "value").collect():
+        try:
+            found[r.file_name] = json.loads(r.value)
+        except ValueError:
+            continue
+    return found
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table that materialise() made and that nothing reads any more."""
     path = getattr(df, "_weftline_path", None)
