@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.config import CrawlConfig
-from weftline.operators import admission, crawl, state
+from weftline.operators import admission, crawl, robots, state
 from weftline.sources import project, responses
 from weftline.streaming import crawl_log
 
@@ -64,10 +64,10 @@ def test_failures_and_retry(spark):
 
 def test_robots(spark):
     text = "User-agent: *\nDisallow: /a\nAllow: /a/b\n\nUser-agent: bot\nDisallow: /\n"
-    rules = admission.parse_robots(spark.createDataFrame([("e.com", text), ("n.com", None), ("z.com", "")], "host string, text string"))
+    rules = robots.parse_robots(spark.createDataFrame([("e.com", text), ("n.com", None), ("z.com", "")], "host string, text string"))
     urls = spark.createDataFrame([("https://e.com/a/b",), ("https://e.com/z",), ("https://o.com/a",), ("x",), (None,)], "url string")
-    assert [r.robots_ok for r in admission.robots_filter(urls, rules).orderBy(F.col("url").desc()).collect()] == [True, True, True, False, True]
-    assert {r.url: r.robots_ok for r in admission.robots_filter(urls, rules, "Bot/2").collect()}["https://e.com/z"] is False
+    assert [r.robots_ok for r in robots.robots_filter(urls, rules).orderBy(F.col("url").desc()).collect()] == [True, True, True, False, True]
+    assert {r.url: r.robots_ok for r in robots.robots_filter(urls, rules, "Bot/2").collect()}["https://e.com/z"] is False
 
 
 def test_responses(spark):

@@ -49,50 +49,3 @@ def new_urls(found: DataFrame, *known: DataFrame) -> DataFrame:
     for table in known:
         found = found.join(table.select("url"), "url", "left_anti")
     return found.groupBy("url").agg(F.min_by("depth", "seq").alias("depth"), F.min("seq").alias("seq"))
-
-
-def parse_robots(robots: DataFrame) -> DataFrame:
-    """Rules (host, agent, part, seq, allow, prefix) of robots texts (host, text): rules after a group's agents are theirs.
-    part is the number of the group."""
-    line = F.regexp_replace(F.regexp_replace(F.col("raw"), "#.*$", ""), r"^\s+|\s+$", "")
-    rows = robots.select("host", F.posexplode(F.split("text", r"\r\n|\r|\n", -1)).alias("seq", "raw")).select("host", "seq", line.alias("line"))
-    field = F.lower(F.regexp_replace(F.substring_index("line", ":", 1), r"\s+$", ""))
-    value = F.regexp_replace(F.regexp_replace("line", r"^[^:]*:", ""), r"^\s+", "")
-    lines = F.sort_array(F.collect_list(F.struct("seq", field.alias("field"), value.alias("value"))))
-    held = rows.where(F.contains("line", F.lit(":"))).groupBy("host").agg(lines.alias("lines"))
-    # A fold over a file's lines: the agents of the current group, whether its rules have begun, and the rules so far.
-    zero = F.struct(F.array().cast("array<string>").alias("agents"), F.lit(False).alias("ruled"), F.lit(0).alias("part"),
-        F.array().cast("array<struct<agents:array<string>,part:int,seq:int,allow:boolean,prefix:string>>").alias("rules"))
-
-    def step(state, x):
-        agent = x.field == "user-agent"
-        rule = x.field.isin("allow", "disallow")
-        return F.struct(
-            F.when(agent & state.ruled, F.array(F.lower(x.value))).when(agent, F.concat(state.agents, F.array(F.lower(x.value)))).otherwise(state.agents).alias("agents"),
-            F.when(agent, F.lit(False)).otherwise(state.ruled | rule).alias("ruled"),
-            (state.part + F.when(agent & state.ruled, 1).otherwise(0)).alias("part"),
-            F.when(rule & (F.size(state.agents) > 0), F.concat(state.rules, F.array(F.struct(
-                state.agents.alias("agents"), state.part.alias("part"), x.seq.alias("seq"), ((x.field == "allow") | (x.value == "")).alias("allow"), x.value.alias("prefix"))))).otherwise(state.rules).alias("rules"))
-
-    rules = held.select("host", F.explode(F.aggregate("lines", zero, step, lambda s: s.rules)).alias("rule"))
-    return rules.select("host", F.explode("rule.agents").alias("agent"), "rule.part", "rule.seq", "rule.allow", "rule.prefix")
-
-
-def robots_filter(urls: DataFrame, rules: DataFrame, agent: str = "*", url: str = "url") -> DataFrame:
-    """Adds robots_ok: of the first group that names the agent (or else the first of `*`) for the host, the first rule whose
-    prefix begins the path decides.
-
-    Prefixes are literal. Addresses without a host or rules are allowed. Rules are folded to one row a host, so the
-    join adds no rows.
-    """
-    named = (F.col("agent") != "*") & F.contains(F.lit(agent.lower().split("/")[0]), F.col("agent"))
-    own = rules.where(named | (F.col("agent") == "*")).withColumn("named", named)
-    group = F.struct((~F.col("named")).alias("general"), "part", "seq", "allow", "prefix")
-    folded = own.groupBy("host").agg(F.sort_array(F.collect_list(group)).alias("rules"))
-    rows = urls.withColumn("_host", F.lower(U.netloc(F.col(url))))
-    joined = rows.join(folded.select(F.col("host").alias("_host"), "rules"), "_host", "left")
-    target = F.concat(F.when(U.path(F.col(url)) == "", "/").otherwise(U.path(F.col(url))), F.when(U.query(F.col(url)) != "", F.concat(F.lit("?"), U.query(F.col(url)))).otherwise(""))
-    # One group counts: the first that names the agent comes first, then the general ones.
-    head = F.get(F.col("rules"), 0)
-    first = F.try_element_at(F.filter("rules", lambda r: (r.general == head.general) & (r.part == head.part) & F.startswith(target, r.prefix)), F.lit(1))
-    return joined.withColumn("robots_ok", F.coalesce(first.allow, F.lit(True))).drop("_host", "rules")

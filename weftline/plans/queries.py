@@ -14,7 +14,7 @@ from ..config import CrawlConfig
 from ..functions import paths as P
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import admission, crawl, dedup, extract, rewrite, state
+from ..operators import admission, crawl, dedup, extract, rewrite, robots, state
 from ..session import read_table
 from ..sources import project, responses
 from . import derived as D
@@ -427,14 +427,30 @@ _ASKED = {"deny": "{h}/a/b{n}", "open": "{h}/z{n}.pdf", "root": "{h}", "only": "
 @query("f7_robots_filter", f"SELECT page_id, variant, variant <> 'deny' AS general, variant <> 'first' AS named, variant <> 'only' AS other FROM {D.variants_sql(_ASKED)}")
 def robots_filter(spark, sf_dir):
     texts = D.ids(spark, sf_dir).select(U.hostname(F.expr(D.SITE)).alias("host"), F.lit(_ROBOTS).alias("text")).distinct()
-    rules = admission.parse_robots(texts)
-    general = admission.robots_filter(D.variants(spark, sf_dir, _ASKED), rules).withColumnRenamed("robots_ok", "general")
+    rules = robots.parse_robots(texts)
+    general = robots.robots_filter(D.variants(spark, sf_dir, _ASKED), rules).withColumnRenamed("robots_ok", "general")
     # Two groups name Weft, and the first of them counts.
-    named = admission.robots_filter(general, rules, "Weft/1.0").withColumnRenamed("robots_ok", "named")
-    other = admission.robots_filter(named, rules, "Other/2").withColumnRenamed("robots_ok", "other")
+    named = robots.robots_filter(general, rules, "Weft/1.0").withColumnRenamed("robots_ok", "named")
+    other = robots.robots_filter(named, rules, "Other/2").withColumnRenamed("robots_ok", "other")
     return other.select("page_id", "variant", "general", "named", "other")
 
 
+#: A group that an empty line ends, one with a delay alone, escapes and parameters.
+_ROBOTS_STATES = (
+    "User-agent: lost\n\nDisallow: /lost\nUser-agent: slow\nCrawl-delay: 2\nUser-agent: bot\nDisallow: /p;v=1\nDisallow: /%7Ejoe\n"
+    "Allow: /caf%C3%A9/open\nDisallow: /caf\u00e9\n\nUser-agent: *\nDisallow: /all\n")
+_ASKED_STATES = {"lost": "{h}/lost/{n}", "parameter": "{h}/p;v=1{n}", "joe": "{h}/~joe/{n}", "cafe": "{h}/caf\u00e9/{n}", "open": "{h}/caf%c3%a9/open{n}", "all": "{h}/%61ll/{n}"}
+
+
+@query("f7_robots_states", f"SELECT page_id, variant, variant NOT IN ('parameter', 'joe', 'cafe') AS bot, true AS slow, variant <> 'all' AS lost FROM {D.variants_sql(_ASKED_STATES)}")
+def robots_states(spark, sf_dir):
+    rules = robots.parse_robots(D.ids(spark, sf_dir).select(U.hostname(F.expr(D.SITE)).alias("host"), F.lit(_ROBOTS_STATES).alias("text")).distinct())
+    out = D.variants(spark, sf_dir, _ASKED_STATES)
+    for agent in ("bot", "slow", "lost"):
+        out = robots.robots_filter(out, rules, f"{agent}/1").withColumnRenamed("robots_ok", agent)
+    return out.select("page_id", "variant", "bot", "slow", "lost")
+
+
 _GRAPH_SQL = """
     WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages),
     e AS (SELECT page_id AS a, unnest([(2 * page_id + 1) % n, (2 * page_id + 2) % n, (7 * page_id + 3) % n]) AS b FROM pages, n),
@@ -457,6 +473,28 @@ def crawl_replay(spark, sf_dir):
     return both.withColumn("depth", F.col("depth").cast("long"))
 
 
+@query("g10_redirect_chains", """
+    WITH n AS (SELECT page_id AS i, count(*) OVER () AS n FROM pages),
+    a AS (SELECT i, i % 4 IN (1, 2) AND i + 1 < n AS moves, i % 4 = 2 AS passed, i % 4 = 3 AND i % 3 = 0 AS broken FROM n WHERE i > 0)
+    SELECT 'https://star.example/' || i AS url, 1::BIGINT AS depth, CASE WHEN broken THEN 'failed' ELSE 'visited' END AS action,
+        CASE WHEN NOT broken THEN 'https://star.example/' || CASE WHEN passed THEN i - 1 ELSE i END END AS source FROM a
+    UNION ALL SELECT 'https://star.example/0', 0, 'visited', 'https://star.example/0'""")
+def redirect_chains(spark, sf_dir):
+    """Page 0 links to all others in order. 1 redirects to 2, 2 would to 3, and so on by fours: 2 is not asked for, since 1
+    has reached it, so neither its failure nor its redirect counts, and 3 is asked for."""
+    at = lambda e: F.expr(f"concat('https://star.example/', {e})")
+    nodes = D.ids(spark, sf_dir)
+    last = nodes.count() - 1
+    links = nodes.where("page_id > 0").select(at("0").alias("src_url"), F.col("page_id").alias("ordinal"), at("page_id").alias("url"))
+    moved = f"page_id % 4 IN (1, 2) AND page_id < {last}"
+    replies = nodes.select(
+        at("page_id").alias("url"), F.when(F.expr(moved), at("page_id + 1")).otherwise(at("page_id")).alias("final_url"),
+        F.expr("CASE WHEN page_id % 8 = 2 OR page_id % 4 = 3 AND page_id % 3 = 0 THEN 404 ELSE 200 END").alias("status"), F.lit("text/html").alias("content_type"))
+    found = crawl.crawl(crawl.seed(spark, ["https://star.example/0"]), links, replies)
+    both = found.visited.select("url", "depth", F.lit("visited").alias("action"), "source").unionByName(found.failed.select("url", "depth", F.lit("failed").alias("action"), F.lit(None).cast("string").alias("source")))
+    return both.withColumn("depth", F.col("depth").cast("long"))
+
+
 @query("j1_s6_frontier", f"""{_GRAPH_SQL}, v AS (SELECT DISTINCT id FROM r WHERE depth < 4)
     SELECT DISTINCT 'https://graph.example/' || b AS url FROM e WHERE a IN (SELECT id FROM v) AND b NOT IN (SELECT id FROM v) AND b % 5 <> 0""")
 def frontier(spark, sf_dir):

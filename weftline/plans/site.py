@@ -11,7 +11,7 @@ from ..config import CrawlConfig
 from ..functions import paths as P
 from ..functions import urls as U
 from ..functions.text import declare_utf8
-from ..operators import admission, crawl, extract, rewrite, state
+from ..operators import admission, crawl, extract, rewrite, robots as robots_txt, state
 from ..session import materialise
 from ..sources.project import Project
 from ..sources.responses import fetch_assets, fetch_pages
@@ -68,7 +68,7 @@ def archive_site(spark: SparkSession, responses: DataFrame, config: CrawlConfig,
     recorded = responses.withColumn("url", U.normalise(F.col("url")))
     allowed = recorded
     if robots is not None and config.respect_robots:
-        allowed = admission.robots_filter(recorded, admission.parse_robots(robots), config.user_agent).where("robots_ok").drop("robots_ok")
+        allowed = robots_txt.robots_filter(recorded, robots_txt.parse_robots(robots), config.user_agent).where("robots_ok").drop("robots_ok")
     fetched = fetch_pages(allowed.select("url"), allowed).where(F.col("ok") & F.contains("content_type", F.lit("text/html")))
     pages = materialise(fetched.select("url", "final_url", "text"))
     parsed = materialise(_parsed(pages))
