@@ -74,3 +74,34 @@ def test_tables_with_nulls_and_nothing(spark):
     assert {r.local_path: r.text for r in rewrite.rewrite_files(files, some).collect()}["pages/a.html"] == '<meta charset=UTF-8><a href="b.html">'
     loose = spark.createDataFrame([("https://EXAMPLE.com/dir/b?utm_source=x#y", "pages/b.html")], "url string, target string")
     assert {r.local_path: r.text for r in rewrite.rewrite_files(files, loose, "normalized").collect()}["pages/a.html"] == '<meta charset=UTF-8><a href="b.html">'
+
+
+def test_pieces_put_together_on_the_jvm_equal_splicing(spark):
+    """Random pages and stylesheets, rewritten as tables and one by one."""
+    import random
+
+    from weftline.functions.paths import relative_path
+    from weftline.operators import rewrite
+
+    rng = random.Random(7)
+    urls = ["a.png", "/b.css", "c.html?x=1&amp;y=2", "https://o.example/d", "#top", "e f.png", "", "data:x", "it's.png"]
+    tags = [
+        lambda u: f'<a href="{u()}">t</a>', lambda u: f"<IMG SRC='{u()}' srcset=\"{u()} 1x,  {u()} 2x, ,{u()}\">", lambda u: f"<p style='a:url({u()}) ;b:url(\"{u()}\")'>", lambda u: f"<link href={u() or 'z'}>",
+        lambda u: f'<style>@import "{u()}"; a{{b:url( {u()} )}} /* url({u()}) */</style>', lambda u: f'<video poster="{u()}" poster="{u()}"><source src="{u()}"></video>', lambda u: f'<p style="x:url(&quot;{u()}&quot;)">', lambda u: "<!-- <a href=a.png> -->é日\n"]
+    files = []
+    for k in range(120):
+        text = "".join(rng.choice(tags)(lambda: rng.choice(urls)) for _ in range(rng.randrange(12)))
+        files.append((f"pages/p{k}.html", "https://e.com/d/p.html", "html", text))
+        files.append((f"assets/s{k}.css", "https://e.com/s.css", "css", "".join(rng.choice(["a{b:url(%s)}", "@import '%s';", "/* url(%s) */", 'x{y:URL( "%s" )}']) % rng.choice(urls) for _ in range(rng.randrange(6)))))
+    found = {r.url for r in rewrite.find_references(spark.createDataFrame(files, "local_path string, base_url string, kind string, text string")).select("url").distinct().collect()}
+    targets = {u: f"assets/{k}&\"'.png" for k, u in enumerate(sorted(found)) if k % 3}
+    df = spark.createDataFrame(files, "local_path string, base_url string, kind string, text string")
+    got = {r.local_path: r.text for r in rewrite.rewrite_files(df, spark.createDataFrame(list(targets.items()), "url string, target string")).collect()}
+    from pyspark.sql import functions as F
+
+    pairs = spark.createDataFrame([(p, t) for p, *_ in files for t in targets.values()], "p string, t string").select("p", "t", relative_path(F.col("p"), F.col("t")).alias("r"))
+    relative = {(r.p, r.t): r.r for r in pairs.collect()}
+    for path, base, kind, text in files:
+        local = lambda raw: relative.get((path, targets.get(css.reference(raw, base))))  # noqa: E731, B023
+        assert got[path] == (css if kind == "css" else html).rewrite(text, local), text
+    assert sum(got[p] != t for p, _, _, t in files) > 100

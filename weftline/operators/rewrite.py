@@ -1,59 +1,105 @@
 """Replacing references in saved pages and stylesheets by paths of local files.
 
-References are joined with the URL map on their resolved address, once each, so the work follows the references and
-not files times map entries. Texts stay out of the shuffle until a page's few replacements have been gathered.
+A text is read by Python once. What comes back is the text in pieces: what stands between the spans that may change, and
+each span's addresses. Addresses are joined with the URL map, once each, so the work follows the references and not files
+times map entries, and the pieces are put together again on the JVM.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.common import let
 from ..functions.paths import relative_path
 from ..functions.text import declare_utf8
 from ..functions.urls import normalise, strip_tracking
-from ..session import prepare
+from ..session import materialise, prepare
 from . import css, html
 
 _REF = pa.struct([("raw", pa.string()), ("url", pa.string())])
+_PART = pa.struct([("before", pa.string()), ("at", pa.int32()), ("plain", pa.string()), ("open", pa.string()), ("close", pa.string())])
+_PIECE = pa.struct([("before", pa.string()), ("original", pa.string()), ("quote", pa.string()), ("parts", pa.list_(_PART)), ("after", pa.string())])
+_TAKEN = (
+    "local_path string, refs array<struct<raw:string,url:string>>, pieces array<struct<before:string,original:string,quote:string,"
+    "parts:array<struct<before:string,at:int,plain:string,open:string,close:string>>,after:string>>, rest string")
 
 
-def find_references(files: DataFrame, base_element: bool = False) -> DataFrame:
-    """local_path, raw, url of what rewriting may replace in files (local_path, base_url, kind, text)."""
+def taken_apart(files: DataFrame, base_element: bool = False) -> DataFrame:
+    """local_path, refs (raw, url: the distinct addresses that may be replaced), pieces and rest of files (local_path,
+    base_url, kind, text).
+
+    A piece is the text before a span (before), the span as it is (original), and its parts, whose addresses are told by
+    their places in refs, -1 for one that leads nowhere. A null text has no pieces and a null rest.
+    """
     prepare(files.sparkSession)
     rows = files.select("local_path", "base_url", "kind", "text")
 
     def one(base, kind, text):
-        if kind == "css":
-            found: dict[str, str] = {}
-            for raw in css.addresses(text or ""):
-                to = css.reference(raw, base or "")
-                if to is not None:
-                    found.setdefault(raw, to)
-            return found.items()
-        return html.references(text or "", base or "", base_element)
+        if text is None:
+            return [], [], None
+        page = None if kind == "css" else html.read(text)
+        found = html.css_edits(text, imports=True) if page is None else html.edits(page, text)
+        base = html.base_of(page, base or "") if page is not None and base_element else base or ""
+        refs, places, pieces, end = [], {}, [], 0
+        for e in found:
+            parts = []
+            for p in e.parts:
+                if p.raw not in places:
+                    url = css.reference(p.raw, base)
+                    places[p.raw] = -1 if url is None else len(refs)
+                    if url is not None:
+                        refs.append({"raw": p.raw, "url": url})
+                parts.append({"before": p.before, "at": places[p.raw], "plain": p.plain, "open": p.open, "close": p.close})
+            pieces.append({"before": text[end : e.start], "original": text[e.start : e.end], "quote": e.quote, "parts": parts, "after": e.after})
+            end = e.end
+        return refs, pieces, text[end:]
 
     def run(batches):
         for batch in batches:
-            found = [[{"raw": r, "url": u} for r, u in one(*x)] for x in zip(*(batch.column(c).to_pylist() for c in ("base_url", "kind", "text")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("local_path"), pa.array(found, pa.list_(_REF))], names=["local_path", "refs"])
+            refs, pieces, rest = [], [], []
+            for x in zip(*(batch.column(c).to_pylist() for c in ("base_url", "kind", "text")), strict=True):
+                for column, value in zip((refs, pieces, rest), one(*x)):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("local_path"), pa.array(refs, pa.list_(_REF)), pa.array(pieces, pa.list_(_PIECE)), pa.array(rest, pa.string())], names=["local_path", "refs", "pieces", "rest"])
 
-    found = rows.mapInArrow(run, "local_path string, refs array<struct<raw:string,url:string>>")
-    return found.select("local_path", F.explode("refs").alias("ref")).select("local_path", "ref.*")
+    return rows.mapInArrow(run, _TAKEN)
+
+
+def find_references(files: DataFrame, base_element: bool = False) -> DataFrame:
+    """local_path, raw, url of what rewriting may replace in files (local_path, base_url, kind, text)."""
+    return taken_apart(files, base_element).select("local_path", F.explode("refs").alias("ref")).select("local_path", "ref.*")
 
 
-def local_references(refs: DataFrame, url_map: DataFrame, match: str = "exact") -> DataFrame:
-    """local_path, raw and the relative path of each reference whose address the map (url, target) has.
+def put_together(pieces: Column, rest: Column, local: Column) -> Column:
+    """The text of pieces, with the paths that local holds at the places of their addresses."""
+    def escaped(value, quote):
+        plain = F.replace(value, F.lit("&"), F.lit("&amp;"))
+        return F.when(quote == "", value).when(quote == '"', F.replace(plain, F.lit('"'), F.lit("&quot;"))).otherwise(F.replace(plain, F.lit("'"), F.lit("&#x27;")))
+
+    def span(p):
+        part = lambda x: F.concat(x.before, F.coalesce(F.concat(x.open, escaped(F.get(local, x.at), p.quote), x.close), x.plain))
+        changed = F.exists(p.parts, lambda x: F.get(local, x.at).isNotNull())
+        return F.concat(p.before, F.when(changed, F.concat(F.array_join(F.transform(p.parts, part), ""), p.after)).otherwise(p.original))
+
+    return F.concat(F.array_join(F.transform(pieces, span), ""), rest)
+
+
+def local_references(refs: DataFrame, url_map: DataFrame, match: str = "exact", how: str = "inner") -> DataFrame:
+    """refs (local_path, raw, url and other columns) with relative, the path to the file that the map (url, target) has
+    for the address; `how` left keeps the others, with null. url is unique in the map.
 
     `match` is exact, or normalized: then both sides are compared in canonical form, without tracking parameters.
     """
     if match == "exact":
-        joined = refs.join(url_map.select("url", "target"), "url")
+        joined = refs.join(url_map.select("url", "target"), "url", how)
     else:
         clean = lambda c: strip_tracking(normalise(F.col(c)))
-        joined = refs.withColumn("at", clean("url")).join(url_map.select(clean("url").alias("at"), "target").groupBy("at").agg(F.min("target").alias("target")), "at")
-    return joined.select("local_path", "raw", relative_path(F.col("local_path"), F.col("target")).alias("relative"))
+        joined = refs.withColumn("at", clean("url")).join(url_map.select(clean("url").alias("at"), "target").groupBy("at").agg(F.min("target").alias("target")), "at", how)
+    path = F.when(F.col("target").isNotNull(), relative_path(F.col("local_path"), F.col("target")))
+    return joined.select("local_path", *(c for c in refs.columns if c not in ("local_path", "url")), path.alias("relative"))
 
 
 def existing_files(mapped: DataFrame, files: DataFrame) -> DataFrame:
@@ -72,20 +118,15 @@ def rewrite_files(files: DataFrame, url_map: DataFrame, match: str = "exact", ba
     url_map has (url, target), with entries only for files that exist. With an empty map every text returns as it is.
     One row per local_path is expected, with the page's final address as its base.
     """
-    found = local_references(find_references(files, base_element), url_map, match)
-    gathered = found.groupBy("local_path").agg(F.map_from_entries(F.collect_set(F.struct("raw", "relative"))).alias("local"))
-    any_map = url_map.limit(1).select(F.lit(True).alias("mapped"))
-    rows = files.select("local_path", "kind", "text").join(gathered, "local_path", "left").join(F.broadcast(any_map), F.lit(True), "left")
-    mapped = F.col("mapped").isNotNull()
-    rows = rows.select("local_path", "kind", F.when(mapped & (F.col("kind") != "css"), declare_utf8(F.col("text"))).otherwise(F.col("text")).alias("text"), "local")
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for kind, text, local in zip(*(batch.column(c).to_pylist() for c in ("kind", "text", "local")), strict=True):
-                if text is not None and local:
-                    text = (css if kind == "css" else html).rewrite(text, dict(local).get)
-                out.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column("local_path"), pa.array(out, pa.string())], names=["local_path", "text"])
-
-    return rows.mapInArrow(run, "local_path string, text string")
+    mapped = F.broadcast(url_map.limit(1).select(F.lit(True).alias("mapped")))
+    rows = files.select("local_path", "base_url", "kind", "text").join(mapped, F.lit(True), "left")
+    declared = F.when(F.col("mapped").isNotNull() & (F.col("kind") != "css"), declare_utf8(F.col("text"))).otherwise(F.col("text"))
+    # Two readers: the references, which take none of the texts, and the splice.
+    parsed = materialise(taken_apart(rows.withColumn("text", declared), base_element))
+    refs = parsed.select("local_path", F.posexplode("refs").alias("place", "ref")).select("local_path", "place", "ref.url")
+    told = local_references(refs, url_map, match, "left")
+    # Each place of refs has one entry, so its path stands at its place.
+    found = told.groupBy("local_path").agg(F.sort_array(F.collect_list(F.struct("place", "relative"))).alias("found"))
+    joined = parsed.select("local_path", "pieces", "rest").join(found, "local_path", "left")
+    local = F.coalesce(F.transform("found", lambda x: x.relative), F.array().cast("array<string>"))
+    return joined.select("local_path", let(local, lambda paths: put_together(F.col("pieces"), F.col("rest"), paths)).alias("text"))
