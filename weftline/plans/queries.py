@@ -676,6 +676,18 @@ def archive(spark, sf_dir):
     return project.archived_files(project.archive(files, 1 << 16)).select("local_path", F.sha2("body", 256).alias("sha256"))
 
 
+@query("io11_one_archive", "SELECT 'pages/' || page_id || '.html' AS local_path, octet_length(encode(html)) AS bytes, sha256(html) AS sha256 FROM pages")
+def one_archive(spark, sf_dir):
+    """Every file, read back from the one archive of all."""
+    from ..session import scratch_folder
+    from ..sources.archive import read_archive, write_archive
+
+    files = read_table(spark, sf_dir, "pages").select(D.filled("pages/{n}.html").alias("local_path"), F.col("html").alias("body"))
+    path = f"{scratch_folder(spark)}/project.zip"
+    entries = write_archive(files, path, 1 << 20)
+    return read_archive(entries, path).join(entries, "local_path").select("local_path", "bytes", F.sha2("body", 256).alias("sha256"))
+
+
 @query("io12_saved_pages", f"SELECT url, body AS text FROM {D.RESPONSES_SQL} WHERE status < 400")
 def saved_pages(spark, sf_dir):
     replies = D.responses(spark, sf_dir)
