@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.config import CrawlConfig
+from weftline import schemas
 from weftline.operators import admission, crawl, robots, state
 from weftline.sources import project, responses
 from weftline.streaming import crawl_log
@@ -101,3 +102,18 @@ def test_log_stream(spark, tmp_path):
     assert {r.url: r.action for r in spark.sql("SELECT * FROM latest").collect()} == {"u0": "visited", "u1": "failed", "u2": "visited"}
     windows = crawl_log.windowed_counts(spark.read.schema(schema).json(f"{tmp_path}/log"))
     assert windows.agg(F.sum("entries")).first()[0] == 6
+
+
+def test_stream_state_is_the_same_however_batches_repeat(spark, tmp_path):
+    rows = [(k, "visited" if k % 3 else "failed", f"u{k % 7}", f"p{k}" if k % 3 else None, None if k % 3 else f"e{k}", 0.0) for k in range(60)]
+    parts = [spark.createDataFrame(rows[k::5], schemas.LOG) for k in range(5)]
+    held = crawl_log.UpsertedState(spark, f"{tmp_path}/state", deltas=2)
+    assert held.entries().count() == 0
+    for number, part in enumerate(parts):
+        held(part, number)
+        held(part, number)  # a driver that was lost runs its last batch again
+    want = {}
+    for _, action, url, path, error, _ in rows:
+        want[action, url] = path if action == "visited" else error
+    got = {("visited", r.url): r.local_path for r in held.url_map().collect()} | {("failed", r.url): r.error for r in held.errors().collect()}
+    assert got == want

@@ -5,8 +5,10 @@ A name begins with the operators that it shows.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -643,6 +645,31 @@ def crawl_log_latest(spark, sf_dir):
     return state.latest_url_map(D.crawl_log(spark, sf_dir))
 
 
+@query("io6_stream_state", f"""
+    SELECT 'visited' AS action, url, arg_max(local_path, seq) AS value FROM {D.LOG_SQL} WHERE action = 'visited' GROUP BY url
+    UNION ALL SELECT 'failed', url, arg_max(error, seq) FROM {D.LOG_SQL} WHERE action = 'failed' GROUP BY url""")
+def stream_state(spark, sf_dir):
+    """The log appended in three parts and followed as a stream, which is started anew for each; the second part is lost
+    on its way once, after its rows were written and before the stream had recorded it."""
+    from ..session import scratch_folder
+    from ..streaming.crawl_log import UpsertedState, follow, read_log
+
+    root = scratch_folder(spark)
+    held, log = UpsertedState(spark, f"{root}/state", deltas=2), D.crawl_log(spark, sf_dir)
+    for part in range(3):
+        log.where(F.col("seq") % 3 == part).write.mode("append").json(f"{root}/log")
+        if part == 1:
+            def lost(batch, number):
+                held(batch, number)
+                raise RuntimeError("lost")
+
+            with contextlib.suppress(StreamingQueryException):
+                follow(read_log(spark, f"{root}/log"), lost, f"{root}/checkpoint").awaitTermination()
+        follow(read_log(spark, f"{root}/log"), held, f"{root}/checkpoint").awaitTermination()
+    visited = held.url_map().select(F.lit("visited").alias("action"), "url", F.col("local_path").alias("value"))
+    return visited.unionByName(held.errors().select(F.lit("failed").alias("action"), "url", F.col("error").alias("value")))
+
+
 @query("a5_errors_latest", f"SELECT url, arg_max(error, seq) AS error FROM {D.LOG_SQL} WHERE action = 'failed' GROUP BY url")
 def errors_latest(spark, sf_dir):
     return state.latest_errors(D.crawl_log(spark, sf_dir))
