@@ -28,8 +28,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
-_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_ASCII_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha())
+# Classes of characters, as a pattern of runs of them.
+_BLANK, _SYMBOL, _CAPITAL, _MARK = f"[{BLANKS}]+", f"[{SYMBOLS}]+", "[A-Z]+", r"[!-@\[-`{-~]+"
 
 
 @dataclass(frozen=True)
@@ -64,8 +64,9 @@ RULES = (
 )
 
 
-def _without(text: str | Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def _outside(pattern: str) -> Column:
+    """How many characters of the text lie outside the runs; far cheaper than translate()."""
+    return F.length(F.regexp_replace("text", pattern, ""))
 
 
 def _repeats(words: Column) -> Column:
@@ -83,15 +84,15 @@ def measures(docs: DataFrame) -> DataFrame:
     """doc_id and counts of each row's whole text; a null text has no words."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     cut = texts.select(
-        "doc_id", "text", F.array_remove(F.split("text", f"[{BLANKS}]+"), "").alias("words"),
-        F.filter(F.split("text", "\n"), lambda line: _without(line, BLANKS) != "").alias("lines"))
-    word_chars = F.length(_without("text", BLANKS))
+        "doc_id", "text", F.array_remove(F.split("text", _BLANK), "").alias("words"),
+        F.filter(F.split("text", "\n"), lambda line: F.regexp(line, F.lit(f"[^{BLANKS}]"))).alias("lines"))
+    chars = F.length("text")
     ended = F.filter("lines", lambda line: F.regexp(line, F.lit(r"[.!?:\"'…。！？»”][ \t\x0b\x0c\r]*$")))
     counts = {
-        "n_words": F.size("words"), "word_chars": word_chars, "n_symbols": F.length("text") - F.length(_without("text", SYMBOLS)),
+        "n_words": F.size("words"), "word_chars": _outside(_BLANK), "n_symbols": chars - _outside(_SYMBOL),
         "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")), "n_repeat_words": let(F.col("words"), _repeats),
         "n_lines": F.size("lines"), "n_ended_lines": F.size(ended), "n_distinct_words": F.size(F.array_distinct("words")),
-        "n_capitals": F.length("text") - F.length(_without("text", _LETTERS[26:])), "n_marks": F.length("text") - F.length(_without("text", _ASCII_MARKS)),
+        "n_capitals": chars - _outside(_CAPITAL), "n_marks": chars - _outside(_MARK),
     }
     return cut.select("doc_id", *(c.cast("long").alias(n) for n, c in counts.items()))
 
