@@ -83,3 +83,18 @@ def test_keys_are_found_behind_names_and_paths():
                 alone += is_found
                 glued += is_found and any(a < 4 + len(before) + len(key) and b > 4 + len(before) for a, b in spans)
             assert alone > 150 and glued >= 0.99 * alone, (name, before, alone, glued)
+
+
+def test_letters_alone_are_keys_if_they_mix_cases():
+    rng = random.Random(5)
+    keys = ["".join(rng.choice(string.ascii_letters) for _ in range(24)) for _ in range(1_000)]
+    assert sum(bool(list(random_spans(f"x {k} y", EntropyRule()))) for k in keys) > 950
+    glued = ["".join(rng.choice(string.ascii_letters) for _ in range(19)) + "".join(rng.choice(string.digits) for _ in range(1 + k % 4)) for k in range(1_000)]
+    assert sum(bool(list(random_spans(f"sig={k}", EntropyRule()))) for k in glued) > 900
+    for plain in ("thisIsAVeryLongMethodNameForTests", "getElementsByTagNameAndClassName", "src/main/java/MyClassName/otherThing12", "THE-WHOLE-LINE-IS-SHOUTED/YES", "Donaudampfschifffahrtsgesellschaft"):
+        assert not list(random_spans(plain, EntropyRule()))
+
+
+def test_spans_end_where_the_run_ends():
+    text = "x 9aK2mQ7xLz0Vw4TbR8nYc3J"
+    assert list(random_spans(text, EntropyRule(window=30))) == [(2, len(text))]

@@ -668,7 +668,8 @@ def similar_documents(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: f
 def keep_one(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that are not similar to one with a smaller id, over any number of links, with all their columns.
 
-    Rows without an id stay; rows that repeat an id stay or go together.
+    Rows without an id stay; rows that repeat an id stay or go together. Null texts count as empty, and texts without a
+    shingle are similar to none but their like. Other columns may have any names; an empty table gives no rows.
     """
     gone = similar_documents(docs, words, similarity).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
