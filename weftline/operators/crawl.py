@@ -116,6 +116,15 @@ def crawl(
         opened[path, schema] = _bucketed(df, path, schema, ("url",), now.buckets)
         return path
 
+    def whole(paths: list, schema: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+    def visited_of(now: _State) -> DataFrame:
+        seen = whole(now.visited, _VISITED).withColumn("source", F.coalesce("source", "url"))
+        if now.aliased:
+            seen = seen.groupBy("url").agg(F.min(F.struct("seq", "depth", "source")).alias("v")).select("url", "v.depth", "v.seq", "v.source")
+        return seen
+
     def commit() -> None:
         now.level += 1
         write_record(spark, f"{root}/levels/{now.level:06d}.json", asdict(now))
@@ -150,7 +159,7 @@ def crawl(
             break
         due = table(now.frontier, schemas.FRONTIER)
         if replies is not None:
-            pages = _ask(due.where(F.col("depth") <= max_depth), replies, now, lambda p: table(p, _VISITED), part, links_of)
+            pages = _ask(due.where(F.col("depth") <= max_depth), replies, now, part, links_of)
         else:
             if now.deepest <= max_depth:
                 now.visited.append(now.frontier)  # all that are due are visited, so the part serves as both
@@ -163,9 +172,9 @@ def crawl(
             found = admit(found)
         new = found.where(F.col("depth") <= max_depth).groupBy("url").agg(F.min(F.struct("parent", "ordinal", "depth")).alias("f"))
         for path, _ in now.known:
-            new = new.join(table(path, schemas.FRONTIER).select("url"), "url", "left_anti")
-        for path in now.aliased:
-            new = new.join(table(path, _VISITED).where("source <> url").select("url"), "url", "left_anti")
+            new = new.join(table(path, schemas.FRONTIER).select("url").hint("merge"), "url", "left_anti")
+        if now.aliased:
+            new = new.join(whole(now.aliased, _VISITED).where("source <> url").select("url"), "url", "left_anti")
         new = materialise(new.select("url", "f.depth", "f.parent", "f.ordinal"))
         numbered, now.pending = in_order(new, "parent", "ordinal")
         now.frontier = part(numbered.select("url", "depth", (F.col("place") - 1 + now.next_seq).alias("seq")), "frontier", schemas.FRONTIER)
@@ -180,11 +189,8 @@ def crawl(
         now.deepest += 1
         commit()
         if progress is not None:
-            count = lambda paths, schema: sum(table(p, schema).count() for p in paths)
-            progress({"level": now.level - 1, "visited": count(now.visited, _VISITED), "pending": now.pending, "failed": count(now.failed, schemas.FAILED)})
-    whole = lambda paths, schema: spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-    seen = whole(now.visited, _VISITED).withColumn("source", F.coalesce("source", "url"))
-    return Crawl(seen, whole(now.failed, schemas.FAILED), whole([now.frontier], schemas.FRONTIER).where(F.lit(now.pending > 0)), now.level)
+            progress({"level": now.level - 1, "visited": visited_of(now).count(), "pending": now.pending, "failed": whole(now.failed, schemas.FAILED).count()})
+    return Crawl(visited_of(now), whole(now.failed, schemas.FAILED), whole([now.frontier], schemas.FRONTIER).where(F.lit(now.pending > 0)), now.level)
 
 
 class _Links:
@@ -202,12 +208,12 @@ class _Links:
             blocks = pages.withColumn("block", F.lit(0))
         else:
             blocks = pages.join(self.hubs, "src_url", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(0))))).drop("blocks")
-        return blocks.join(self.links, ["src_url", "block"])
+        return blocks.join(self.links.hint("merge"), ["src_url", "block"])
 
 
-def _ask(due: DataFrame, replies: DataFrame, now: _State, table, part, links_of: str) -> DataFrame:
+def _ask(due: DataFrame, replies: DataFrame, now: _State, part, links_of: str) -> DataFrame:
     """Writes what the level's addresses have become, and gives the pages (src_url, depth, seq) whose links are followed."""
-    met = materialise(due.join(replies, "url", "left"))
+    met = materialise(due.join(replies.hint("merge"), "url", "left"))
     moved = F.when((F.col("status") < 400) & (F.col("final_url") != F.col("url")), F.col("final_url"))
     aliases = met.select("url", "depth", "seq", moved.alias("alias")).where("alias IS NOT NULL")
     counted, aliased = met, not aliases.isEmpty()
@@ -222,9 +228,7 @@ def _ask(due: DataFrame, replies: DataFrame, now: _State, table, part, links_of:
     new = good.select("url", "depth", "seq", F.col("url").alias("source"))
     if aliased:
         also = aliases.groupBy(F.col("alias").alias("url")).agg(F.min(F.struct("seq", "depth", F.col("url").alias("source"))).alias("a")).select("url", "a.depth", "a.seq", "a.source")
-        for path in now.visited:
-            also = also.join(table(path).select("url"), "url", "left_anti")
-        new = new.unionByName(also.join(good.select("url"), "url", "left_anti"))
+        new = new.unionByName(also)  # some may be visited already; the first row of an address counts
     now.visited.append(part(new, "visited", _VISITED))
     if aliased:
         now.aliased.append(now.visited[-1])
