@@ -399,10 +399,12 @@ def charset_fix(spark, sf_dir):
 _EQUIVS = {
     "both": '<meta charset="Shift_JIS"><META HTTP-EQUIV="Content-Type" content="text/html; charset=EUC-JP">{n}',
     "none": '<meta http-equiv="content-type" content="text/html">{n}', "ended": "<meta http-equiv=content-type content='text/html;'>{n}", "absent": "<p>charset={n}</p>",
+    "before": '<meta content="text/html" http-equiv="Content-Type">{n}', "renamed": '<meta content="text/html; charset=x{n}" http-equiv="Content-Type">',
 }
 _FIXED = {
     "both": '<meta charset="UTF-8"><META HTTP-EQUIV="Content-Type" content="text/html; charset=UTF-8">{n}',
     "none": '<meta http-equiv="content-type" content="text/html; charset=UTF-8">{n}', "ended": "<meta http-equiv=content-type content='text/html; charset=UTF-8'>{n}", "absent": "<p>charset={n}</p>",
+    "before": '<meta content="text/html" http-equiv="Content-Type">{n}', "renamed": '<meta content="text/html; charset=UTF-8" http-equiv="Content-Type">',
 }
 
 
