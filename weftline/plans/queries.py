@@ -16,7 +16,7 @@ from ..config import CrawlConfig
 from ..functions import paths as P
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import admission, crawl, dedup, extract, rewrite, robots, state
+from ..operators import admission, crawl, dedup, extract, patterns, rewrite, robots, state
 from ..session import read_table
 from ..sources import project, responses
 from . import derived as D
@@ -332,8 +332,18 @@ def excluded_path(spark, sf_dir):
 
 @query("j10_exclusion_patterns", "SELECT page_id, pattern FROM pages JOIN (VALUES ('ref=x'), ('.html'), ('utm_')) p(pattern) ON contains(url, pattern)")
 def exclusion_patterns(spark, sf_dir):
-    patterns = spark.createDataFrame([("ref=x",), ("utm_",), (".html",)], "pattern string")  # a setting, not a table that grows
-    return read_table(spark, sf_dir, "pages").join(F.broadcast(patterns), F.contains("url", F.col("pattern"))).select("page_id", "pattern")
+    asked = spark.createDataFrame([("ref=x",), ("utm_",), (".html",)], "pattern string")
+    return patterns.matches(read_table(spark, sf_dir, "pages"), asked, "page_id", "url")
+
+
+@query("j10_growing_patterns", r"""
+    WITH p AS (SELECT DISTINCT regexp_extract(url, '(/[a-z]+/\d+)', 1) AS pattern FROM pages)
+    SELECT page_id, pattern FROM pages JOIN p ON contains(html, pattern) WHERE pattern <> ''""")
+def growing_patterns(spark, sf_dir):
+    """Paths of all pages, looked for in all pages."""
+    pages = read_table(spark, sf_dir, "pages")
+    asked = pages.select(F.regexp_extract("url", r"(/[a-z]+/\d+)", 1).alias("pattern")).where("pattern <> ''")
+    return patterns.matches(pages, asked, "page_id", "html")
 
 
 @query("u17_excluded_extension", f"SELECT page_id, {_END} IN ('.tar.gz', '.PNG', '.png?x=1') AS excluded FROM pages")
