@@ -338,12 +338,12 @@ def exclusion_patterns(spark, sf_dir):
 
 @query("j10_growing_patterns", r"""
     WITH p AS (SELECT DISTINCT regexp_extract(url, '(/[a-z]+/\d+)', 1) AS pattern FROM pages)
-    SELECT page_id, pattern FROM pages JOIN p ON contains(html, pattern) WHERE pattern <> ''""")
+    SELECT page_id, pattern FROM pages JOIN p ON contains(url, pattern) WHERE pattern <> ''""")
 def growing_patterns(spark, sf_dir):
-    """Paths of all pages, looked for in all pages."""
+    """Paths of all pages, looked for in all addresses: each is in its own, and some begin others."""
     pages = read_table(spark, sf_dir, "pages")
     asked = pages.select(F.regexp_extract("url", r"(/[a-z]+/\d+)", 1).alias("pattern")).where("pattern <> ''")
-    return patterns.matches(pages, asked, "page_id", "html")
+    return patterns.matches(pages, asked, "page_id", "url")
 
 
 @query("u17_excluded_extension", f"SELECT page_id, {_END} IN ('.tar.gz', '.PNG', '.png?x=1') AS excluded FROM pages")
