@@ -43,3 +43,17 @@ def test_frames(spark, tmp_path):
     project = Project.create(spark, f"{tmp_path}/frames", config)
     found.save(project, config)
     assert Project.load(spark, f"{tmp_path}/frames").table("url_map").count() == len(paths)
+
+
+def test_a_page_that_an_earlier_one_redirects_to_is_not_saved_again(spark):
+    site = "http://moved.example/"
+    page = lambda name, text, final=None: (site + name, site + (name if final is None else final), 200, "text/html", text.encode())
+    rows = [page("", '<a href="a">1</a><a href="b">2</a><a href="c">3</a>'), page("a", '<a href="d">b</a>', "b"), page("b", '<a href="e">b</a>'), page("c", "c"), page("d", "d", "c"), page("e", "e")]
+    responses = spark.createDataFrame(rows, "url string, final_url string, status int, content_type string, body binary")
+    found = archive_site(spark, responses, CrawlConfig(start_url=site, project_name="moved"))
+    paths = {r.url: r.local_path for r in found.url_map.collect()}
+    # b is known by a's redirect, so it is not fetched and e is never found; d came last to c, and its file stands for both.
+    assert set(paths) == {site, site + "a", site + "b", site + "c", site + "d"}
+    assert paths[site + "a"] == paths[site + "b"] and paths[site + "c"] == paths[site + "d"] == "pages/d/index.html"
+    assert {r.local_path for r in found.files.collect()} >= {"index.html", paths[site + "a"], paths[site + "d"]}
+    assert found.failed.count() == 0

@@ -821,6 +821,40 @@ def project_settings(spark, sf_dir):
         [(config.start_url, config.project_name, config.max_depth, config.asset_filter, CrawlConfig().max_depth)], "start_url string, project_name string, max_depth long, asset_filter string, default_depth long")
 
 
+@query("io7_s7_settings_table", """
+    SELECT url AS start_url, CASE page_id % 3 WHEN 0 THEN 'a_b' || page_id WHEN 1 THEN 'CON_' ELSE 'weftline_project' END AS project_name,
+        CASE WHEN page_id % 2 = 0 THEN page_id % 9 ELSE 10 END::BIGINT AS max_depth, CASE WHEN page_id % 4 = 1 THEN 'images' ELSE 'all' END AS asset_filter,
+        page_id % 5 <> 0 AS respect_robots, CASE WHEN page_id % 7 = 0 THEN 1 ELSE 5 END::BIGINT AS extensions FROM pages""")
+def settings_table(spark, sf_dir):
+    """Settings of a project for each page, written with names that are unknown, missing or null, and read again."""
+    from ..session import scratch_folder
+
+    told = F.struct(
+        F.col("url").alias("start_url"), F.expr("CASE page_id % 3 WHEN 0 THEN concat('a/b', page_id) WHEN 1 THEN 'CON' END").alias("project_name"),
+        F.expr("CASE WHEN page_id % 2 = 0 THEN page_id % 9 END").alias("max_depth"), F.expr("CASE page_id % 4 WHEN 1 THEN 'images' WHEN 2 THEN 'everything' END").alias("asset_filter"),
+        F.expr("CASE WHEN page_id % 5 = 0 THEN false END").alias("respect_robots"), F.expr("CASE WHEN page_id % 7 = 0 THEN array('.zip') END").alias("excluded_extensions"), F.lit("x").alias("of_the_future"))
+    path = f"{scratch_folder(spark)}/settings"
+    read_table(spark, sf_dir, "pages").select(F.to_json(told).alias("value")).write.text(path)
+    found = project.read_settings(spark, path)
+    return found.select(
+        "start_url", "project_name", F.col("max_depth").cast("long").alias("max_depth"), "asset_filter", "respect_robots", F.size("excluded_extensions").cast("long").alias("extensions"))
+
+
+#: Elements that few pages have: frames, and sources outside pictures and media.
+_RARE = {"frame": '<frameset><frame src="fr{n}.html"><frame name="x"></frameset>', "source": '<div><source src="s{n}.bin"></div>', "loose": '<source srcset="no{n}.png 1x">'}
+
+
+@query("x4_x12_rare_elements", f"""
+    SELECT page_id, 'frame' AS variant, 'frame' AS tag, 'page' AS kind, {D.SITE} || '/dir/fr' || page_id || '.html' AS url FROM pages
+    UNION ALL SELECT page_id, 'source', 'source', 'other', {D.SITE} || '/dir/s' || page_id || '.bin' FROM pages""")
+def rare_elements(spark, sf_dir):
+    pages = D.variants(spark, sf_dir, _RARE, "html").select(F.struct("page_id", "variant").alias("key"), D.filled("{h}/dir/p{n}.html").alias("url"), "html")
+    parsed = extract.parse_pages(pages, "key")
+    found = extract.links_of(parsed, "key").select("key", "tag", F.lit("page").alias("kind"), "url")
+    found = found.unionByName(extract.assets_of(parsed, "key").select("key", F.col("source_tag").alias("tag"), F.col("asset_type").alias("kind"), "url"))
+    return found.select("key.page_id", "key.variant", "tag", "kind", "url")
+
+
 @query("io3_rendered_pages", f"SELECT url, CASE WHEN page_id % 2 = 0 THEN '<i>' || page_id || '</i>' ELSE body END AS text FROM {D.RESPONSES_SQL} WHERE status < 400")
 def rendered_pages(spark, sf_dir):
     """Pages whose rendered form was recorded have that as their text."""

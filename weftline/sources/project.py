@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..config import CrawlConfig
-from ..functions.paths import zone
+from ..config import FALLBACK_NAME, POLICIES, CrawlConfig
+from ..functions.paths import project_name, zone
 
 VERSION = "1"
 #: Tables of a project; the crawl's log is JSON lines, and so can be appended to and streamed.
@@ -37,6 +37,18 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path) if _exists(spark, path) else spark.createDataFrame([], schema)
 
 
+def read_settings(spark: SparkSession, path: str) -> DataFrame:
+    """Settings of any number of projects, an object of JSON a line, as CrawlConfig.from_dict reads each.
+
+    Unknown names are passed over, names that are missing or null get their defaults, an unknown policy is the first, and
+    project names are made safe.
+    """
+    rows, defaults = read_json(spark, path, schemas.SETTINGS), CrawlConfig().to_dict()
+    known = rows.select(*(F.coalesce(F.col(c), F.lit(defaults[c]).cast(rows.schema[c].dataType)).alias(c) for c in rows.columns))
+    return known.withColumns({
+        "project_name": project_name(F.col("project_name"), FALLBACK_NAME), "asset_filter": F.when(F.col("asset_filter").isin(*POLICIES), F.col("asset_filter")).otherwise(POLICIES[0])})
+
+
 class Project:
     """Reads and writes a project's tables. Saving twice writes twice the same."""
 
