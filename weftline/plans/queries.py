@@ -752,14 +752,19 @@ def site_url_map(spark, sf_dir):
     l AS (SELECT p.id, k, CASE WHEN t = 0 THEN up || 'index.html' WHEN t IN (SELECT id FROM p) THEN up || CASE WHEN p.id = 0 THEN 'pages/' ELSE '' END || t || '/index.html' ELSE 'https://graph.example/' || t END AS href
         FROM p, n, (VALUES (0, 2, 1), (1, 2, 2), (2, 7, 3)) v(k, a, b), LATERAL (SELECT (a * p.id + b) % n AS t), LATERAL (SELECT CASE WHEN p.id = 0 THEN '' WHEN t = 0 THEN '../../' ELSE '../' END AS up))
     SELECT CASE WHEN id = 0 THEN 'index.html' ELSE 'pages/' || id || '/index.html' END AS local_path, count(*) FILTER (href NOT LIKE 'https:%') AS local_links FROM l GROUP BY id
-    UNION ALL SELECT 'assets/s.css', 0""")
+    UNION ALL SELECT 'assets/s.css', count(*) FROM (VALUES ('bg.png')) named(file)""")
 def site_files(spark, sf_dir):
     """How many anchors of each rewritten file lead to other files; links with tracking parameters match in canonical form."""
     found = _site(spark, sf_dir)
     files = found.files.where("local_path NOT LIKE '%.css'").select("local_path", F.lit("html").alias("kind"), "text", F.lit("https://graph.example/0").alias("base_url"))
     again = rewrite.rewrite_files(files, found.url_map.select("url", F.col("local_path").alias("target")), match="normalized")
     count = F.size(F.filter(extract.anchors(F.col("text")), lambda h: F.endswith(h, F.lit("index.html")))).cast("long")
-    return again.select("local_path", count.alias("local_links")).unionByName(spark.createDataFrame([("assets/s.css", 0)], "local_path string, local_links long"))
+    links = again.select("local_path", count.alias("local_links"))
+    # Of the stylesheet, the local files that it names and that were saved under the name it gives.
+    named = F.transform(F.regexp_extract_all("text", F.lit(r"url\(([^):]+)\)"), F.lit(1)), lambda n: F.concat(F.lit("assets/"), n))
+    sheets = found.files.where("local_path LIKE '%.css'").select("local_path", F.explode(named).alias("file"))
+    saved = found.url_map.select(F.col("local_path").alias("file")).distinct()
+    return links.unionByName(sheets.join(saved, "file", "left_semi").groupBy("local_path").agg(F.count("*").alias("local_links")))
 
 
 @query("io9_io10_project_tables", "SELECT 'https://site' || (page_id % 5) || '.example/' || page_id AS url, 'pages/' || page_id || '.html' AS local_path FROM pages")
