@@ -76,7 +76,7 @@ def _bucketed(df: DataFrame, path: str, schema: str, keys: tuple, buckets: int)
     spark, name = df.sparkSession, f"weftline_{uuid.uuid4().hex}"
     columns = [c.split()[0] for c in schema.split(", ")]
     rows = df.select(*columns).repartition(buckets, *keys)
-    rows.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    rows.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
     spark.sql(f"DROP TABLE {name}")
     return _opened(spark, path, schema, keys, buckets)
 
