@@ -538,13 +538,11 @@ def pop(spark, sf_dir):
 @query("g5_g7_stop_resume", f"{_GRAPH_SQL} SELECT 'https://graph.example/' || id AS url, min(depth)::BIGINT AS depth FROM r GROUP BY id")
 def stop_resume(spark, sf_dir):
     """A crawl that stops after three levels, is saved as a project and goes on from its tables."""
-    import uuid
-
-    from ..session import shared_folder
+    from ..session import scratch_folder
 
     _, links = D.graph(spark, sf_dir)
     first = crawl.crawl(crawl.seed(spark, ["https://graph.example/0"]), links, should_stop=lambda level: level == 3)
-    root = f"{shared_folder(spark)}/project-{uuid.uuid4().hex}"
+    root = f"{scratch_folder(spark)}/project"
     project.Project.create(spark, root, CrawlConfig(start_url="https://graph.example/0", project_name="p")).save(visited=first.visited, failed=first.failed, frontier=first.frontier)
     saved = project.Project.load(spark, root)
     found = crawl.crawl(saved.table("frontier"), links, visited=saved.table("visited"), failed=saved.table("failed"))
@@ -770,22 +768,18 @@ def site_files(spark, sf_dir):
 @query("io9_io10_project_tables", "SELECT 'https://site' || (page_id % 5) || '.example/' || page_id AS url, 'pages/' || page_id || '.html' AS local_path FROM pages")
 def project_tables(spark, sf_dir):
     """A URL map that went into a project's tables and came back."""
-    import uuid
-
-    from ..session import shared_folder
+    from ..session import scratch_folder
 
-    root = f"{shared_folder(spark)}/project-{uuid.uuid4().hex}"
+    root = f"{scratch_folder(spark)}/project"
     made = project.Project.create(spark, root, CrawlConfig(start_url="https://site0.example/", project_name="p"))
     made.save(url_map=D.ids(spark, sf_dir).select(D.filled("{h}/{n}").alias("url"), D.filled("pages/{n}.html").alias("local_path")))
     return project.Project.load(spark, root).table("url_map")
 
 
 def _saved_project(spark, sf_dir) -> project.Project:
-    import uuid
-
-    from ..session import shared_folder
+    from ..session import scratch_folder
 
-    root = f"{shared_folder(spark)}/project-{uuid.uuid4().hex}"
+    root = f"{scratch_folder(spark)}/project"
     config = CrawlConfig.from_dict({"start_url": "https://site0.example/", "project_name": "a/b", "max_depth": 7, "asset_filter": "odd", "later_setting": 1})
     made = project.Project.create(spark, root, config)
     log = D.crawl_log(spark, sf_dir)
