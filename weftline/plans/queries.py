@@ -722,7 +722,7 @@ def one_archive(spark, sf_dir):
     files = read_table(spark, sf_dir, "pages").select(D.filled("pages/{n}.html").alias("local_path"), F.col("html").alias("body"))
     path = f"{scratch_folder(spark)}/project.zip"
     entries = write_archive(files, path, 1 << 20)
-    return read_archive(entries, path).join(entries, "local_path").select("local_path", "bytes", F.sha2("body", 256).alias("sha256"))
+    return read_archive(entries, path).select("local_path", F.octet_length("body").cast("long").alias("bytes"), F.sha2("body", 256).alias("sha256"))
 
 
 @query("io12_saved_pages", f"SELECT url, body AS text FROM {D.RESPONSES_SQL} WHERE status < 400")

@@ -112,8 +112,13 @@ def discard(df: DataFrame) -> None:
     """Deletes a table that materialise() made and that nothing reads any more."""
     path = getattr(df, "_weftline_path", None)
     if path:
-        place, system = _located(df.sparkSession, path)
-        system.delete(place, True)
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that scratch_folder() made and that nothing reads any more."""
+    place, system = _located(spark, path)
+    system.delete(place, True)
 
 
 def _located(spark: SparkSession, path: str):
